@@ -50,15 +50,16 @@ def null_key(col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit("~"))
 
 
-def map_texts(docs: DataFrame, carry: Sequence[str], fields: Sequence[tuple[str, str]], make: Callable[[], Callable[[list[str]], list[tuple]]], *, several: bool = False) -> DataFrame:
+def map_texts(docs: DataFrame, carry: Sequence[str], fields: Sequence[tuple[str, str]], make: Callable[[], Callable[..., list]], *, several: bool = False, extra: Sequence[str] = ()) -> DataFrame:
     """Apply a Python function to whole texts, in Arrow batches, and carry columns along unchanged.
 
     ``make()`` runs once a task and returns a function from a list of texts (null is "") to a list
     of tuples, one value for each of ``fields`` (name, SQL type); with ``several``, to a list of
-    lists of such tuples, one output row each. ``carry`` must not hold a name of ``fields``.
+    lists of such tuples, one output row each. Lists of the ``extra`` columns' values follow the
+    texts. ``carry`` must not hold a name of ``fields``.
     """
-    kept = docs.select(*[F.col(f"`{c}`") for c in carry], text_or_empty().alias("aw_text"))
-    schema = StructType([*kept.schema.fields[:-1], *[StructField(name, _parse(kind)) for name, kind in fields]])
+    kept = docs.select(*[F.col(f"`{c}`") for c in carry], text_or_empty().alias("aw_text"), *[F.col(f"`{c}`").alias(f"aw_{i}") for i, c in enumerate(extra)])
+    schema = StructType([*kept.schema.fields[: len(carry)], *[StructField(name, _parse(kind)) for name, kind in fields]])
     arrow = to_arrow_schema(schema)
     n = len(carry)
 
@@ -67,7 +68,7 @@ def map_texts(docs: DataFrame, carry: Sequence[str], fields: Sequence[tuple[str,
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                made = apply(part.column(n).to_pylist())
+                made = apply(*(part.column(i).to_pylist() for i in range(n, part.num_columns)))
                 columns = [part.column(i) for i in range(n)]
                 if several:
                     places = pa.array([i for i, rows in enumerate(made) for _ in rows], pa.int64())
