@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, pii, quality_classifier, quality_rules, secret_scan, source_mixing
+from . import best_fit_packing, document_fingerprints, jaccard_join, pii, quality_classifier, quality_rules, secret_scan, source_mixing
 from .common import read
 
 
@@ -14,6 +14,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,8 +45,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op5_best_fit_packing, op7_secret_scan, op8_pii, op9_quality_rules, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_document_fingerprints, op5_best_fit_packing, op7_secret_scan, op8_pii, op9_quality_rules, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules.ORACLE_SQL, "op10_source_mixing": source_mixing.ORACLE_SQL}
+    return {"op3_document_fingerprints": document_fingerprints.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op10_source_mixing": source_mixing.ORACLE_SQL}
