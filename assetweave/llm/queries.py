@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, document_fingerprints, jaccard_join, pii, quality_classifier, quality_rules, secret_scan, source_mixing
+from . import best_fit_packing, document_fingerprints, jaccard_join, pii, quality_classifier, quality_rules, quotation_linking, secret_scan, source_mixing, url_filters
 from .common import read
 
 
@@ -22,12 +22,20 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation_linking.link_quotations(read(spark, sf_dir, "conversations"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return best_fit_packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.registered(spark, sf_dir)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_document_fingerprints, op5_best_fit_packing, op7_secret_scan, op8_pii, op9_quality_rules, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_document_fingerprints, op4_quotation_linking, op5_best_fit_packing, op6_url_filters, op7_secret_scan, op8_pii, op9_quality_rules, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
