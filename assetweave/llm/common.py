@@ -50,6 +50,15 @@ def null_key(col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit("~"))
 
 
+def sample_of(df: DataFrame, by: Sequence[str], bound: int) -> DataFrame:
+    """About ``bound`` rows, or all where there are no more: those whose hash of ``by`` lies below
+    the share that is wanted. Rows equal in ``by`` are in or out together; reruns agree.
+    """
+    n = df.count()
+    below = 1 << 30 if n <= bound else int(bound / n * (1 << 30))
+    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), *by), F.lit(1 << 30)) < below)
+
+
 def map_texts(docs: DataFrame, carry: Sequence[str], fields: Sequence[tuple[str, str]], make: Callable[[], Callable[..., list]], *, several: bool = False, extra: Sequence[str] = ()) -> DataFrame:
     """Apply a Python function to whole texts, in Arrow batches, and carry columns along unchanged.
 

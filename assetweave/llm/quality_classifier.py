@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, sample_of
 
 #: Hashed words, then the cells of structure statistics and metadata.
 WORD_CELLS = 4096
@@ -169,14 +169,14 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = TRAIN_ROWS, seed: int = 5) -> Machine:
-    """Fit on a bounded sample of labelled rows: the ``rows`` of lowest hash that aren't held out.
+    """Fit on a bounded sample of labelled rows that aren't held out: about ``rows``, dealt by hash.
 
     Null labels and ids teach nothing; of contradicting labels of an id the lower counts; of
     repeated documents each teaches. Without labels the model is neutral (0.5 for every text).
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("aw_label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    taught = docs.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows of two numbers
+    chosen = sample_of(known, ["doc_id"], rows)
+    taught = docs.join(F.broadcast(chosen), "doc_id")  # about ``rows`` rows of two numbers
 
     def make():
         return lambda texts, *meta: [features(t, m) for t, m in zip(texts, zip(*meta, strict=True), strict=True)]
