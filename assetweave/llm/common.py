@@ -67,8 +67,10 @@ def map_texts(docs: DataFrame, carry: Sequence[str], fields: Sequence[tuple[str,
     lists of such tuples, one output row each. Lists of the ``extra`` columns' values follow the
     texts. ``carry`` must not hold a name of ``fields``.
     """
-    kept = docs.select(*[F.col(f"`{c}`") for c in carry], text_or_empty().alias("aw_text"), *[F.col(f"`{c}`").alias(f"aw_{i}") for i, c in enumerate(extra)])
-    schema = StructType([*kept.schema.fields[: len(carry)], *[StructField(name, _parse(kind)) for name, kind in fields]])
+    carried = docs.select(*[F.col(f"`{c}`") for c in carry]).schema.fields
+    # Names of its own, so that no carried name clashes on the way in.
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], text_or_empty().alias("t"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
+    schema = StructType([*carried, *[StructField(name, _parse(kind)) for name, kind in fields]])
     arrow = to_arrow_schema(schema)
     n = len(carry)
 

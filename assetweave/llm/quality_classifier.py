@@ -133,6 +133,7 @@ def fit(rows: list[tuple[list[int], list[float]]], labels: list[int], *, rank: i
     deal = np.random.default_rng(seed)
     machine = Machine(0.0, np.zeros(SIZE), deal.normal(0, 0.02, (SIZE, rank)))
     if not rows:
+        machine.factors[:] = 0
         return machine
     y = np.asarray(labels, dtype=np.float64)
     machine.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))

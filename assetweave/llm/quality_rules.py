@@ -13,10 +13,10 @@ WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rules: name, value on an integer grid, highest grid cell, slack in cells added to the fence, whether low values fail too.
 RULES = (
-    ("symbols", "1000 * n_symbols div word_chars", 1000, 50, False),
-    ("dup_lines", "1000 * n_dup_lines div n_words", 1000, 50, False),
-    ("repeats", "1000 * n_repeat_words div n_words", 1000, 100, False),
-    ("word_length", "100 * word_chars div n_words", 10000, 100, True),
+    ("symbols", "1000 * n_symbols div nullif(word_chars, 0)", 1000, 50, False),
+    ("dup_lines", "1000 * n_dup_lines div nullif(n_words, 0)", 1000, 50, False),
+    ("repeats", "1000 * n_repeat_words div nullif(n_words, 0)", 1000, 100, False),
+    ("word_length", "100 * word_chars div nullif(n_words, 0)", 10000, 100, True),
 )
 #: A group with fewer documents takes its language's thresholds, and such a language those of all documents.
 MIN_GROUP = 100
@@ -162,17 +162,20 @@ _SLACK_SQL = "CASE rule " + " ".join(f"WHEN '{name}' THEN {slack}" for name, _,
 ORACLE_SQL = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '~') AS l, coalesce('=' || source, '~') AS s, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS words FROM docs),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS words FROM docs),
 win AS (SELECT rid, i, array_to_string(words[i:i+7], ' ') AS win FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
 rep AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, win) AS c FROM win) WHERE c > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY rid),
 lines AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n
   FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs)
-  WHERE regexp_matches(line, '[^ 	-]') GROUP BY rid),
+  WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY rid),
 counts AS (
   SELECT w.rid, doc_id, l, s, len(words)::BIGINT AS n_words,
-         length(regexp_replace(t, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
          coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN lines USING (rid) LEFT JOIN cov USING (rid)),
