@@ -5,9 +5,10 @@ hash. Two sets that link share one of the first shingles of both (the prefix), s
 prefix shingle hold every candidate. Two kinds of work are skipped:
 
 * in a list, blocks of entries whose sizes and places rule out enough common shingles;
-* answers that follow from another set's: sets with equal shingles are one node; the first
-  set of a list is compared with the others first, and those that link take over its component;
-  only pairs of different components in a list are then compared at all.
+* answers that follow from another set's: sets with equal shingles are one node; the first set of
+  a list (the pivot) is compared with the others first, and those that link take over its
+  component; the answers of the rest of its group are derived from differences to it; only pairs
+  of different components in a list that no such group has settled are then compared one by one.
 """
 
 from __future__ import annotations
@@ -176,8 +177,8 @@ def _may_link(na, pa_, nb, pb, percent: int) -> np.ndarray:
 
 
 def _shared_lists(percent: int):
-    """Entries sorted by (token, node) -> those of lists with two nodes or more, with the list's
-    first node (the pivot) and whether it may link with that. One entry is held back at a time."""
+    """Entries sorted by (token, late, node) -> those of lists with two nodes or more, with the
+    list's first node (the pivot) and whether both may link here. One entry is held back at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # last row: token, node, n, pos, pivot, pivot_n, pivot_pos, in a list already
@@ -209,23 +210,26 @@ def _shared_lists(percent: int):
 
 
 def _list_rows(token, node, n, pos, pivot, pivot_n, pivot_pos, inside, percent) -> pa.RecordBatch:
-    star = (node != pivot) & _may_link(n, pos, pivot_n, pivot_pos, percent)
+    star = (node == pivot) | _may_link(n, pos, pivot_n, pivot_pos, percent)
     columns = [token, node, n.astype(np.int32), pos.astype(np.int32), pivot, star]
     return pa.RecordBatch.from_arrays([pa.array(c[inside]) for c in columns], names=["token", "node", "n", "pos", "pivot", "star"])
 
 
-def list_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, side: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of one list (or two tiles of it: ``side``) in different components.
+def list_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, star: np.ndarray, side: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of one list (or two tiles of it: ``side``) in different components, but for
+    those of two sets that were both compared with the pivot: its group has settled them.
 
     Entries lie by size and then by place. A probe stops at the first entry too large for it, and
     skips whole blocks in which even the most that remains after any entry's place is too little.
     """
     order = np.lexsort((pos, n))
-    node, n, pos, comp = node[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order]
+    node, n, pos, comp, star = node[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order], star[order]
     side = None if side is None else side[order]
     rest = n - pos
     starts = np.arange(0, len(n), SKIP)
     most_rest, least_n = np.maximum.reduceat(rest, starts), n[starts]
+    if star.all():
+        return
     for i in range(len(n) - 1):
         end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
         if end <= i + 1:
@@ -234,7 +238,7 @@ def list_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarra
         go = np.minimum(rest[i], most_rest[b0:b1]) >= _needed(n[i], np.maximum(least_n[b0:b1], n[i]), percent)
         for b in np.flatnonzero(go) + b0:
             s, e = max(i + 1, b * SKIP), min(end, (b + 1) * SKIP)
-            ok = (comp[s:e] != comp[i]) & (np.minimum(rest[i], rest[s:e]) >= _needed(n[i], n[s:e], percent))
+            ok = (comp[s:e] != comp[i]) & ~(star[s:e] & star[i]) & (np.minimum(rest[i], rest[s:e]) >= _needed(n[i], n[s:e], percent))
             if side is not None:
                 ok &= side[s:e] != side[i]
             if ok.any():
@@ -243,13 +247,13 @@ def list_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarra
 
 
 def _cross_pairs(percent: int):
-    """Rows of (token, c1, c2, node, n, pos, comp, tile), sorted by the first three -> pairs."""
+    """Rows of (token, c1, c2, node, n, pos, comp, star, tile), sorted by the first three -> pairs."""
 
     def flush(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate([p[i] for p in parts]) for i in range(8)]
-        side = columns[7] if columns[1][0] != columns[2][0] else None
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(9)]
+        side = columns[8] if columns[1][0] != columns[2][0] else None
         left, right, many = [], [], 0
-        for a, b in list_pairs(columns[3], columns[4], columns[5], columns[6], side, percent):
+        for a, b in list_pairs(columns[3], columns[4], columns[5], columns[6], columns[7], side, percent):
             left.append(a)
             right.append(b)
             many += len(a)
@@ -263,7 +267,7 @@ def _cross_pairs(percent: int):
         parts: list[list[np.ndarray]] = []
         key = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
             if not len(columns[0]):
                 continue
             changes = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])) + 1
@@ -361,6 +365,89 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _star_links(stars: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever links connect among a pivot and its candidates.
+
+    A pivot's group (its candidates, or two tiles of them) is one unit of work. Each member is
+    reduced to its difference from the pivot; the answers of members that link with the pivot follow
+    from the pivot's, and those of the others are derived from the differences: two sets differ by
+    what their differences don't share. So a large group of near copies costs one text a member
+    and tile, and gives a link a member, never a row a pair.
+    """
+    sizes = stars.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = stars.join(sizes, "a").withColumn("tile", F.pmod(F.xxhash64("b"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("a", F.least("tile", "other").alias("c1"), F.greatest("tile", "other").alias("c2"), "b")
+    members = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "c1", "c2", F.lit(1).alias("kind"), F.col("b").alias("node"), "z")
+    heads = dealt.select("a", "c1", "c2").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "c1", "c2", F.lit(0).alias("kind"), F.col("a").alias("node"), "z")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            found = group_links(sets, percent) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for kind, node, z in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                if kind == 0:
+                    yield flush()
+                    nodes, sets = [], []
+                nodes.append(node)
+                sets.append(shingles(expand.decompress(z).decode("utf-8", "surrogatepass"), words))
+        yield flush()
+
+    ordered = heads.unionByName(members).repartition("a", "c1", "c2").sortWithinPartitions("a", "c1", "c2", "kind")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def group_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Places (i, j) of links that connect all that links connect in a group; the first set is the pivot."""
+    pivot = sets[0]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    shared = [np.isin(pivot, x, assume_unique=True) for x in sets]
+    common = np.array([int(m.sum()) for m in shared])
+    near = 100 * common >= percent * (sizes[0] + sizes - common)
+    links = [(0, i) for i in range(1, len(sets)) if near[i]]
+    others = np.flatnonzero(~near)
+    if not len(others) or len(sets) < 3:
+        return links
+    # Differences from the pivot: what a set lacks of it, and what it has besides.
+    lacks = [np.flatnonzero(~m) for m in shared]
+    extra = [np.setdiff1d(x, pivot, assume_unique=True) for x in sets]
+    tokens, back, counts = np.unique(np.concatenate(extra), return_inverse=True, return_counts=True)
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)  # what only one set has is shared by none
+    at = np.split(column[back], np.cumsum([len(x) for x in extra])[:-1])
+    differ = np.array([len(a) + len(b) for a, b in zip(lacks, extra, strict=True)], dtype=np.int64)
+    width = len(pivot) + int((counts > 1).sum())
+    rows = [np.r_[a, len(pivot) + b[b >= 0]] for a, b in zip(lacks, at, strict=True)]
+    parent = np.where(near, 0, np.arange(len(sets)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    both = np.zeros((len(others), len(sets)), dtype=np.float32)
+    for start in range(0, width, 4096):
+        held = np.zeros((len(sets), min(4096, width - start)), dtype=np.float32)
+        for i, r in enumerate(rows):
+            held[i, r[(r >= start) & (r < start + 4096)] - start] = 1
+        both += held[others] @ held.T
+    for k, i in enumerate(others.tolist()):
+        apart = differ[i] + differ - 2 * np.rint(both[k]).astype(np.int64)
+        total = sizes[i] + sizes
+        meet = (total - apart) // 2
+        for j in np.flatnonzero(100 * meet >= percent * (total - meet)).tolist():
+            x, y = root(i), root(j)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                links.append((i, j))
+    return links
+
+
 def link_components(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
@@ -373,20 +460,23 @@ def link_components(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     prefixes = durable(_prefixes(docs, words, percent))
     schema = "token long, node long, n int, pos int"
     entries = prefixes.filter("prefix IS NOT NULL").select("node", "n", "prefix").mapInArrow(_entries, schema)
+    #: A set can link with one of its own size only where enough of it is left; such entries come first.
+    late = F.col("n") - F.col("pos") < F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
+    entries = entries.withColumn("late", late.cast("int"))
     lists = durable(
-        entries.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared_lists(percent), schema + ", pivot long, star boolean")
+        entries.repartition("token").sortWithinPartitions("token", "late", "node").drop("late").mapInArrow(_shared_lists(percent), schema + ", pivot long, star boolean")
     )
     texts = _texts(docs, prefixes, lists, words)
-    stars = lists.filter("star").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = durable(_verified(stars, texts, words, percent))
+    stars = lists.filter("star AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = durable(_star_links(durable(stars), texts, words, percent))
     comps = components(links)
 
-    known = lists.select("token", "node", "n", "pos").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = known.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", "m")
+    known = lists.select("token", "node", "n", "pos", "star").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = known.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("star").alias("settled")).filter("lo < hi AND NOT settled").select("token", "m")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     cut = known.join(open_, "token").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cut = cut.select("token", F.least("tile", "other").alias("c1"), F.greatest("tile", "other").alias("c2"), "node", "n", "pos", "comp", "tile")
+    cut = cut.select("token", F.least("tile", "other").alias("c1"), F.greatest("tile", "other").alias("c2"), "node", "n", "pos", "comp", "star", "tile")
     crossing = cut.repartition("token", "c1", "c2").sortWithinPartitions("token", "c1", "c2").mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
     crossing = crossing.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = durable(links.union(_verified(crossing, texts, words, percent)))
