@@ -15,7 +15,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = (
     ("symbols", "1000 * n_symbols div nullif(word_chars, 0)", 1000, 50, False),
     ("dup_lines", "1000 * n_dup_lines div nullif(n_words, 0)", 1000, 50, False),
-    ("repeats", "1000 * n_repeat_words div nullif(n_words, 0)", 1000, 100, False),
+    ("repeats", "1000 * n_repeat_words div nullif(n_words, 0)", 1000, 300, False),
     ("word_length", "100 * word_chars div nullif(n_words, 0)", 10000, 100, True),
 )
 #: A group with fewer documents takes its language's thresholds, and such a language those of all documents.
