@@ -20,9 +20,10 @@ from ..functions.models import ModelSpec
 from ..functions.providers import embed_grouped, provider_for
 from ..operators import changes
 from ..schemas import ASSETS, EMBEDDINGS, KEYS
+from ..sources import images
 from ..sources.discovery import Discovery, discover
 from ..sources.ignore import IgnoreRules
-from ..sources.processors import Registry
+from ..sources.processors import JVM_IMAGES, ImageProcessor, Registry
 from ..sources.store import Store, WriterLock, delete, prune, replace_file, touch, upsert
 
 _RESULT = (
@@ -103,7 +104,12 @@ def process_files(work: DataFrame, registry: Registry, models: dict[str, ModelSp
                 return r | {"outcome": "touched"}
             if row.reuse and r["content_hash"] == row.hash:
                 return r | {"outcome": "reused", "metadata": json.dumps(processor.metadata(row.extension, data, sibling))}
-            done = processor.process(row.extension, data, sibling)
+            pixels = getattr(row, "pixels", None)
+            if pixels is not None and images.format_of(data) not in images.DECODERS:
+                name = {"jpg": "jpeg", "tif": "tiff"}.get(row.extension, row.extension)
+                done = ImageProcessor.of(images.from_spark(int(row.pixel_rows), int(row.pixel_columns), int(row.pixel_channels), pixels, name))
+            else:
+                done = processor.process(row.extension, data, sibling)
             if missing := [c for c in done.inputs if c not in ready]:
                 raise ValueError(f'No embedding provider configured for channel "{missing[0]}"')
             return r | {"outcome": "indexed", "metadata": json.dumps(done.metadata), "description": done.description, "tags": done.tags, "previews": done.previews, "inputs": done.inputs}
@@ -150,6 +156,22 @@ def hashes(work: DataFrame, max_bytes: int) -> DataFrame:
     return work.select("path", "native_path", "size").mapInPandas(run, "path string, hash string")
 
 
+def with_pixels(work: DataFrame, project: str) -> DataFrame:
+    """Adds pixels of images that the JVM decodes, joined by path; other files have none."""
+    glob = "*.{" + ",".join(c for e in JVM_IMAGES for c in (e, e.upper())) + "}"
+    found = work.sparkSession.read.format("image").option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("dropInvalid", True).load(project)
+    # Paths come as encoded addresses, in which a plus sign stands for itself.
+    origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))
+    shown = found.select(
+        F.regexp_replace(origin, "^file:/*", "/").alias("native_path"),
+        F.col("image.height").alias("pixel_rows"),
+        F.col("image.width").alias("pixel_columns"),
+        F.col("image.nChannels").alias("pixel_channels"),
+        F.col("image.data").alias("pixels"),
+    )
+    return work.join(shown, "native_path", "left")
+
+
 def with_reuse(work: DataFrame, hashed: DataFrame, store: Store, registry: Registry, models: dict[str, ModelSpec]) -> DataFrame:
     """Adds hash and reuse: a current vector for the content is stored, or another path of this
     batch, the first of them, makes it. (If that one fails, the next run finds the others incomplete.)"""
@@ -250,6 +272,8 @@ def run_index(
             part = part.repartition(tasks, "path")
             hashes(part, max_bytes).write.parquet(str(at) + "-hashes")
             part = with_reuse(part, spark.read.parquet(str(at) + "-hashes"), store, registry, models)
+            if not part.filter(F.col("extension").isin(*JVM_IMAGES)).isEmpty():
+                part = with_pixels(part, str(project))
             process_files(part.repartition(tasks, "path"), registry, models, max_bytes).write.parquet(str(at))
             results = spark.read.parquet(str(at))
             _commit(store, results, models, now_ms)

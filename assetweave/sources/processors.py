@@ -30,6 +30,10 @@ class Processor(Protocol):
     def process(self, extension: str, data: bytes, sibling: Callable[[str], bytes | None]) -> Processed: ...
 
 
+#: Image formats that have no decoder here but that Spark's image source reads in the JVM.
+JVM_IMAGES = ("jpg", "jpeg", "tif", "tiff")
+
+
 class ImageProcessor:
     id, version, kind, channels, extensions = "image", "1", "image", ("visual",), images.EXTENSIONS
 
@@ -37,7 +41,10 @@ class ImageProcessor:
         return images.describe(images.decode(data))
 
     def process(self, extension, data, sibling) -> Processed:
-        image = images.decode(data)
+        return self.of(images.decode(data))
+
+    @staticmethod
+    def of(image: images.Image) -> Processed:
         return Processed(images.describe(image), {"visual": [images.for_embedding(image)]})
 
 

@@ -96,6 +96,39 @@ def test_contact_sheet(media):
     assert os.path.getsize(got["output"]) > 100
 
 
+def test_contracts_and_evaluation(media):
+    from assetweave.plans.contracts import check
+    from assetweave.plans.evaluate import evaluate
+
+    made, stats = media
+    check("index", stats)
+    check("search", made.search("green"))
+    check("similar", made.similar("icons/copy.png"))
+    check("inspect", made.inspect("icons/copy.png"))
+    check("status", made.status(check=False))
+    check("models", made.model_status())
+    check("error", AssetError("INDEX_BUSY", "x").document())
+    with pytest.raises(AssetError):
+        check("status", {"schemaVersion": 1})
+    got = evaluate(made, [("red", "CHEST"), ("blue", "door"), ("white", "nothing")], {"props/red chest.png": ["chest_01"], "props/blue door.png": ["door"]}, kind="image")
+    assert got == {"hit_at_1": pytest.approx(2 / 3), "hit_at_5": pytest.approx(2 / 3), "hit_at_10": pytest.approx(2 / 3), "mrr_at_10": 0.667, "queries": 3}
+
+
+def test_images_that_the_jvm_decodes(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(24, 16, 1)
+    for x in range(24):
+        for y in range(16):
+            image.setRGB(x, y, 0x0000FF)
+    (tmp_path / "a b").mkdir()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(tmp_path / "a b/blue+sky.jpg")))
+    made = project(spark, tmp_path)
+    assert made.index()["indexed"] == 1
+    got = made.inspect("a b/blue+sky.jpg")["metadata"]
+    assert (got["width"], got["height"], got["format"]) == (24, 16, "jpeg")
+    assert made.search("blue", kind="image")["results"][0]["evidence"]["visual"] > 0.99
+
+
 def test_incremental_runs(spark, tmp_path):
     for i in range(6):
         h.write(tmp_path / f"a/img{i}.png", h.png("red", 32 + i))
