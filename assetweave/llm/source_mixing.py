@@ -78,8 +78,8 @@ def mix(
     of size, the expected copies are summed along that order, one offset per source (from ``seed``
     and the source) is added, and a document is emitted once for each integer that its step
     crosses: as the order follows size, the words taken stay within a few documents of the target.
-    The prefix sum has two levels: counts of (source, bits of size, salt) cells, summed in order,
-    and ranks within a cell; a cell holds at most 1 / 64 of a hot source, or of one group of
+    The prefix sum has two levels: counts of (source, first bits of size, salt) cells, summed in
+    order, and ranks within a cell; a cell holds at most 1 / 64 of a hot source, or of one group of
     different rows of one size. Only rows equal in id and text share a cell without end, and those
     are interchangeable.
 
@@ -89,10 +89,11 @@ def mix(
     """
     sized = with_sizes(docs, carry)
     targets = source_targets(sized.select("mix_key", "size"), weights, share, most)
-    #: The bits of a size, and the salt, deal a source into cells.
-    sized = sized.withColumns(
+    # A cell has sizes of one length in bits and the same first five bits, and one salt.
+    bits = F.length(F.bin("size"))
+    sized = sized.withColumn("mix_length", bits).withColumns(
         {
-            "mix_bits": F.length(F.bin("size")),
+            "mix_bits": F.col("mix_length") * 32 + F.expr("shiftright(size, greatest(mix_length - 5, 0))"),
             "mix_salt": F.conv(F.substring("mix_tie", 1, 4), 16, 10).cast("int") % SALTS,
         }
     )
@@ -148,7 +149,7 @@ tgt AS (
   FROM op),
 ranked AS (
   SELECT s.*, t.source_size, t.target,
-         row_number() OVER (PARTITION BY s.k ORDER BY length(bin(s.size)), ('0x' || substr(tie, 1, 4))::INT % 64, s.size, tie) AS r,
+         row_number() OVER (PARTITION BY s.k ORDER BY length(bin(s.size)) * 32 + (s.size >> greatest(length(bin(s.size)) - 5, 0)::INT), ('0x' || substr(tie, 1, 4))::INT % 64, s.size, tie) AS r,
          ('0x' || substr(md5('mix-1:' || s.k), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS off,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0::DOUBLE END AS c
   FROM sized s JOIN tgt t USING (k))
