@@ -51,8 +51,13 @@ def score_kind(found: DataFrame, query: str | None, vector: Sequence[float]) ->
     return found.withColumn("semantic", _semantic(vector)).withColumn("lexical", ranking.lexical(tokens, F.col("path_tokens")))
 
 
-def _check(found: DataFrame, vector: Sequence[float]) -> DataFrame:
-    dims = first_dims(found)
+def _check(found: DataFrame, embeddings: DataFrame, space_id: str, vector: Sequence[float]) -> DataFrame:
+    """Candidates of the query's length; an error if the first has another. Where the space has one
+    length, and that is right, the number stored with each vector tells, and no join is needed."""
+    known = [r["dims"] for r in embeddings.filter(F.col("space_id") == space_id).select("dims").distinct().limit(2).collect()]
+    if known == [len(vector)]:
+        return found
+    dims = first_dims(found) if known else None
     if dims is not None and dims != len(vector):
         raise AssetError("INDEX_INCOMPATIBLE", f"The query vector has {len(vector)} dimensions and the index {dims}")
     return same_dims(found, len(vector))
@@ -80,7 +85,7 @@ def with_assets(hits: DataFrame, assets: DataFrame) -> DataFrame:
 
 def search_by_text(assets: DataFrame, embeddings: DataFrame, query: str, vector: Sequence[float], *, kind: str, space_id: str, limit: int = 10, within: str = "", check: bool = True) -> DataFrame:
     found = candidates(assets, embeddings, space_id, [kind])
-    found = _check(found, vector) if check else found
+    found = _check(found, embeddings, space_id, vector) if check else found
     scored = score_kind(found, query, vector).withColumn("score", ranking.single_score(F.col("semantic"), F.col("lexical")))
     return ranked(top(scored, limit, within))
 
@@ -108,7 +113,7 @@ def search_across_kinds(assets: DataFrame, embeddings: DataFrame, query: str, so
 def search_by_vector(assets: DataFrame, embeddings: DataFrame, vector: Sequence[float], *, kind: str, space_id: str, limit: int = 10, within: str = "", exclude: str | None = None, check: bool = True) -> DataFrame:
     """By example: no lexical part. The example itself can be left out before the limit."""
     found = candidates(assets, embeddings, space_id, [kind])
-    found = _check(found, vector) if check else found
+    found = _check(found, embeddings, space_id, vector) if check else found
     scored = score_kind(found, None, vector).withColumn("score", F.col("semantic"))
     return ranked(top(scored, limit, within, exclude))
 

@@ -47,6 +47,21 @@ def test_top_k_is_stable(spark):
     assert [r["path"] for r in search.ranked(search.top(scored, 2)).orderBy("rank").collect()] == ["a", "b"]
 
 
+def test_vectors_of_another_length(spark):
+    from assetweave.errors import AssetError
+
+    assets = spark.createDataFrame([(p, "image", p, "indexed", [p]) for p in "abc"], "path string, kind string, content_hash string, state string, path_tokens array<string>")
+    made = lambda rows: spark.createDataFrame([(h, "s", len(v), v) for h, v in rows], "content_hash string, space_id string, dims int, vector array<float>")
+    ask = lambda e, v: [r["path"] for r in search.search_by_vector(assets, e, v, kind="image", space_id="s").collect()]
+    assert ask(made([("a", [1.0, 0.0]), ("b", [0.0, 1.0])]), [1.0, 0.0]) == ["a", "b"]
+    mixed = made([("a", [1.0, 0.0]), ("b", [1.0]), ("c", [0.5, 0.5])])
+    assert ask(mixed, [1.0, 0.0]) == ["a", "c"]
+    with pytest.raises(AssetError) as error:
+        ask(mixed, [1.0])
+    assert error.value.code == "INDEX_INCOMPATIBLE"
+    assert ask(made([("z", [1.0])]), [1.0, 0.0]) == []
+
+
 def test_entry_has_the_engine():
     assert set(engine.queries()) <= set(entry.queries())
     assert set(engine.oracle_sql()) <= set(entry.oracle_sql())
