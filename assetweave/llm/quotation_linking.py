@@ -10,6 +10,7 @@ from .common import durable, text_or_empty
 #: Turns that are searched, or numbered, together.
 BLOCK = 256
 _MARKS = r"^((?:[ \t]*>)+)"
+_QUOTES = r"(?m)^[ \t]*>"
 _ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|.{1,80}\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
 #: The place of messages without a turn: after all others.
 NO_TURN = 1 << 61
@@ -25,19 +26,17 @@ def passages(messages: DataFrame) -> DataFrame:
     passage, a run of lines of one level, and of each of its lines where it has several.
 
     The level is the number of > marks before a line. A line that only announces a quote ("On ...
-    wrote:") and stands right before one is dropped. Null text is empty.
+    wrote:") and stands right before one is dropped. Null text is empty. Messages without a mark,
+    usually nearly all, are not taken apart: all of them is the reply.
     """
-    lines = F.split(text_or_empty(), r"\r?\n")
-    marked = messages.withColumn(
-        "aw_lines",
-        F.transform(
-            lines,
-            lambda x: F.struct(
-                F.length(F.translate(F.regexp_extract(x, _MARKS, 1), " \t", "")).alias("level"),
-                F.regexp_replace(x, _MARKS, "").alias("body"),
-            ),
+    lines = F.transform(
+        F.split(text_or_empty(), r"\r?\n"),
+        lambda x: F.struct(
+            F.length(F.translate(F.regexp_extract(x, _MARKS, 1), " \t", "")).alias("level"),
+            F.regexp_replace(x, _MARKS, "").alias("body"),
         ),
     )
+    marked = messages.withColumn("aw_lines", F.when(text_or_empty().rlike(_QUOTES), lines))
     level = lambda i: F.get("aw_lines", i)["level"]
     starts = F.filter(F.sequence(F.lit(0), F.size("aw_lines") - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
     marked = marked.withColumn("aw_starts", starts)
@@ -53,12 +52,13 @@ def passages(messages: DataFrame) -> DataFrame:
         kept = F.when(announces, F.slice(r["bodies"], F.lit(1), F.size(r["bodies"]) - 1)).otherwise(r["bodies"])
         return F.when(r["level"] == 0, F.array_join(kept, "\n"))
 
-    reply = F.regexp_replace(F.array_join(F.filter(F.transform("aw_runs", own), lambda x: x.isNotNull()), "\n"), r"^\s+|\s+$", "")
+    parts = F.array_join(F.filter(F.transform("aw_runs", own), lambda x: x.isNotNull()), "\n")
+    reply = F.regexp_replace(F.coalesce(parts, F.replace(text_or_empty(), F.lit("\r\n"), F.lit("\n"))), r"^\s+|\s+$", "")
     quoted = F.filter("aw_runs", lambda r: r["level"] > 0)
     whole = F.transform(quoted, lambda r: F.struct(r["level"].alias("level"), normal(F.array_join(r["bodies"], "\n")).alias("key")))
     single = F.flatten(F.transform(F.filter(quoted, lambda r: F.size(r["bodies"]) > 1), lambda r: F.transform(r["bodies"], lambda b: F.struct(r["level"].alias("level"), normal(b).alias("key")))))
     quotes = F.array_distinct(F.filter(F.concat(whole, single), lambda q: q["key"] != ""))
-    out = marked.withColumn("reply", reply).withColumn("n_quotes", F.size(quoted).cast("long")).withColumn("quotes", F.transform(quotes, lambda q: F.struct(q["level"].alias("level"), F.xxhash64(q["key"]).alias("key"))))
+    out = marked.withColumn("reply", reply).withColumn("n_quotes", F.coalesce(F.size(quoted), F.lit(0)).cast("long")).withColumn("quotes", F.transform(quotes, lambda q: F.struct(q["level"].alias("level"), F.xxhash64(q["key"]).alias("key"))))
     return out.drop("aw_lines", "aw_starts", "aw_runs")
 
 
@@ -125,9 +125,11 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     place = F.coalesce(F.col("turn").cast("long"), F.lit(NO_TURN))
     base = messages.select("conv_id", "turn", "role", "text", F.coalesce(F.col("conv_id").cast("string"), F.lit("~")).alias("conv_key"), place.alias("place"))
     parsed = passages(base).drop("text")
-    quotes = parsed.select("conv_key", "place", F.explode("quotes").alias("q")).select("conv_key", "place", "q.level", "q.key").distinct()
+    quotes = durable(parsed.select("conv_key", "place", F.explode("quotes").alias("q")).select("conv_key", "place", "q.level", "q.key").distinct())
+    # Only conversations in which something is quoted are searched for originals.
+    asked = base.filter(F.col("place") < NO_TURN).join(quotes.select("conv_key").distinct(), "conv_key", "left_semi")
     pieces = F.concat(F.array(F.col("reply")), F.split("reply", r"\n\s*\n"), F.split("reply", "\n"))
-    originals = parsed.filter(F.col("place") < NO_TURN).select("conv_key", "place", F.explode(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(normal(p))))).alias("key"))
+    originals = passages(asked).select("conv_key", "place", F.explode(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(normal(p))))).alias("key"))
     found = durable(_latest_before(quotes, originals).filter("origin IS NOT NULL"))
     links = found.groupBy("conv_key", "place").agg(F.count("*").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("parent"))
     roots = _roots(links.filter("parent IS NOT NULL").select("conv_key", "place", "parent"))
