@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, text_or_empty
+from .common import GAP, durable, text_or_empty
 
 #: A term's document frequency, as a share of all documents, lies in this band (and is 2 at least).
 LOW, HIGH = 0.002, 0.1
@@ -16,12 +16,11 @@ LEXICONS = 16
 TABLE = 1 << 15
 #: Documents that are put in order together, and most ranges of doc_id.
 PER_RANGE, MOST_RANGES = 1000, 1024
-NO_TERM = r"[^\p{L}\p{N}]+"
 
 
 def terms(text: Column) -> Column:
-    """Distinct terms: runs of letters and digits in lower case."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), NO_TERM), lambda t: t != ""))
+    """Distinct terms: words in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), GAP), lambda t: t != ""))
 
 
 def lexicon(docs: DataFrame, n_docs: int, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -30,16 +29,18 @@ def lexicon(docs: DataFrame, n_docs: int, low: float = LOW, high: float = HIGH)
     Documents hold ``low`` * n_docs times a term of the band at least, so the band has at most
     (mean distinct terms of a document) / ``low`` terms, however many documents there are.
     """
-    counted = docs.select(F.explode(terms(text_or_empty())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # The outer form, as for the inner one Spark would add a filter that finds the terms twice more.
+    counted = docs.select(F.explode_outer(terms(text_or_empty())).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     band = counted.filter((F.col("df") >= max(2.0, low * n_docs)) & (F.col("df") <= max(2.0, high * n_docs)))
     digest = F.sha2("term", 256)
     bits = [F.when(F.conv(F.substring(digest, 4 * j + 1, 4), 16, 10).cast("int") < (65536 >> (1 + j // 2)), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(LEXICONS)]
-    return band.select("term", sum(bits[1:], bits[0]).alias("mask")).filter("mask <> 0")
+    # No filter on the mask here: it depends on the term alone, so it would move below the count.
+    return band.select("term", sum(bits[1:], bits[0]).alias("mask"))
 
 
 def lookup_table(lex: DataFrame) -> DataFrame:
     """One row: an array of cells, each an array of (hash of a term, mask). Its size is that of the band."""
-    cells = lex.withColumn("h", F.xxhash64("term")).groupBy(F.pmod("h", F.lit(TABLE)).alias("cell")).agg(F.collect_list(F.struct("h", "mask")).alias("held"))
+    cells = lex.filter("mask <> 0").withColumn("h", F.xxhash64("term")).groupBy(F.pmod("h", F.lit(TABLE)).alias("cell")).agg(F.collect_list(F.struct("h", "mask")).alias("held"))
     every = lex.sparkSession.range(TABLE).withColumnRenamed("id", "cell").join(cells, "cell", "left")
     every = every.select("cell", F.coalesce("held", F.array().cast("array<struct<h:bigint,mask:int>>")).alias("held"))
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "held"))), lambda x: x["held"]).alias("aw_table"))
@@ -159,7 +160,7 @@ near AS (
          substring(a.t, 1, length(a.t) - length(a.t) // 2) || substring(b.t, 1, length(a.t) // 2) AS e
   FROM docs a JOIN docs b ON b.r = a.r % (SELECT count(*) FROM docs) + 1),
 all_texts AS (SELECT r, 0 AS kind, t FROM near UNION ALL SELECT r, 1, e FROM near),
-tt AS (SELECT DISTINCT r, kind, unnest(string_split_regex(lower(t), '{NO_TERM}')) AS term FROM all_texts),
+tt AS (SELECT DISTINCT r, kind, unnest(string_split_regex(lower(t), '{GAP}')) AS term FROM all_texts),
 lex AS (
   SELECT term, {_MASK_SQL} AS m FROM (SELECT term, count(*) AS df FROM tt WHERE kind = 0 AND term <> '' GROUP BY term)
   WHERE df >= greatest(2, {LOW} * (SELECT count(*) FROM docs)) AND df <= greatest(2, {HIGH} * (SELECT count(*) FROM docs))),

@@ -17,7 +17,7 @@ def brute(rows, low, high):
     for i, t in enumerate(texts):
         half = len(t) // 2
         edited.append(t[: len(t) - half] + texts[(i + 1) % len(texts)][:half])
-    terms = lambda t: set(re.findall(r"[^\W_]+", t.lower()))
+    terms = lambda t: set(re.findall(r"[^\x20\x09-\x0D]+", t.lower()))
     df = Counter(x for t in texts for x in terms(t))
     n = len(texts)
 
