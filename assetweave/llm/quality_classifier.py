@@ -38,7 +38,7 @@ for _c in ".,;:?":
 class _Cells(dict):
     def __missing__(self, word: str) -> int:
         cell = zlib.crc32(word.encode("utf-8", "replace")) % WORD_CELLS
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = cell
         return cell
