@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_or_empty
+from .common import map_texts, sample_of, text_or_empty
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "markov")
@@ -71,15 +71,36 @@ def random_samples(n: int, seed: int = 7) -> list[str]:
     return ["".join(deal.choice(sets[i % len(sets)]) for _ in range(deal.randint(20, 64))) for i in range(n)]
 
 
+#: Words of identifiers as programs and addresses have them.
+PLAIN_WORDS = (
+    "user name value index count total page list item node table column row text file path image source target client server request response session cookie "
+    "header body message error status code type class object array string number date time year month version config option default internal external public "
+    "private static final data model view control manager factory service handler parser reader writer buffer stream thread process worker queue cache storage"
+).split()
+
+
+def identifiers(n: int = 3000, seed: int = 3) -> list[str]:
+    """Labelled samples of ordinary identifiers, joined as programs and addresses join words."""
+    deal = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = [deal.choice(PLAIN_WORDS) for _ in range(deal.randint(2, 5))]
+        number = str(deal.choice((deal.randint(0, 99), deal.randint(1990, 2030)))) if i % 3 == 0 else ""
+        forms = ("_".join(words), "-".join(words), "".join(w.capitalize() for w in words), words[0] + "".join(w.capitalize() for w in words[1:]), "/".join(words), "_".join(words).upper(), "".join(words))
+        out.append(forms[i % len(forms)] + number)
+    return out
+
+
 def plain_samples(docs: DataFrame, bound: int = 2000, words: int = 40) -> list[str]:
     """Labelled samples of ordinary identifiers: words of a bounded sample of ``bound`` documents.
 
-    The sample is the documents of lowest hash; neighbouring words are joined as identifiers are
+    The sample is dealt by hash (about ``bound`` documents); neighbouring words are joined as identifiers are
     (snake_case, kebab-case, camelCase, paths), some with a number, so that word boundaries and
     versions look ordinary too. Strings that a fixed pattern finds are no identifiers.
     """
-    lowest = docs.select(F.xxhash64("doc_id", "text").alias("h"), text_or_empty().alias("t")).orderBy("h").limit(bound)
-    rows = lowest.select(F.slice(F.filter(F.split("t", r"[^A-Za-z]+"), lambda w: w != ""), 1, words).alias("w")).collect()
+    found = F.slice(F.filter(F.split(text_or_empty(), r"[^A-Za-z]+"), lambda w: w != ""), 1, words)
+    rows = sample_of(docs, ["doc_id", "text"], bound).select("doc_id", found.alias("w")).collect()
+    rows = sorted(rows, key=lambda r: (str(r["doc_id"]), r["w"]))[: 2 * bound]
     out: list[str] = []
     for k, row in enumerate(rows):
         found = row["w"]
@@ -87,7 +108,7 @@ def plain_samples(docs: DataFrame, bound: int = 2000, words: int = 40) -> list[s
             a, b, c = found[i : i + 3]
             joined = (f"{a}_{b}_{c}", f"{a}-{b}-{c}", a.lower() + b.capitalize() + c.capitalize(), f"{a}/{b}/{c}", (a + "_" + b).upper(), a + b + c)
             out.append(joined[(k + i) % len(joined)] + (str((k + i) % 2030) if i % 4 == 0 else ""))
-    return out or ["an_ordinary_identifier", "plainWordsOnly", "path/to/file"]
+    return out + identifiers()
 
 
 def train(docs: DataFrame, *, bound: int = 2000) -> list[list[float]]:
