@@ -39,37 +39,80 @@ SALTS = 32
 FILTER_BITS = 23
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        made = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = made
-        return made
-
-
-_hashes = _Hashes()
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A random number for each byte; A-Z have those of a-z.
+_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Bytes of texts that are hashed together.
+_CHUNK = 1 << 20
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def shingles(text: str, words: int) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes.
+def _step_powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number modulo 2 ** 64, and of its inverse."""
+    if len(_powers[0]) < n:
+        step = int(_MIX[0])
+        for i, factor in enumerate((step, pow(step, -1, 1 << 64))):
+            row = np.full(n + n // 4, factor, dtype=np.uint64)
+            row[0] = 1
+            _powers[i] = np.cumprod(row)
+    return _powers
 
-    Words are runs without ASCII white space, with A-Z lower-cased (what bytes.lower and
-    bytes.split go by). A text of fewer words is one shingle; one without words has none.
-    """
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(found)
-    if not n:
-        return np.empty(0, dtype=np.uint64)
-    each = np.fromiter(map(_hashes.__getitem__, found), dtype=np.uint64, count=n)
-    k = min(words, n)
-    h = each[: n - k + 1] + np.uint64(k)
-    for j in range(1, k):
-        h = h * _MIX[0] + each[j : n - k + 1 + j]
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _MIX[1]
     h = (h ^ (h >> np.uint64(27))) * _MIX[2]
-    return np.unique(h ^ (h >> np.uint64(31)))
+    return h ^ (h >> np.uint64(31))
+
+
+def _word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word of all texts, first word of each text and the end).
+
+    A word's hash is the sum of its bytes' numbers times powers of an odd number, taken from one
+    running sum over all texts and moved to the word's begin by the inverse power, then mixed.
+    """
+    data = np.frombuffer(b" ".join([*raw, b""]), dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data])).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]  # the data end in a space
+    up, down = _step_powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+    begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    return _mixed((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, begins)
+
+
+def shingles_of(texts: list[str], words: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes.
+
+    Words are runs without ASCII white space, with A-Z lower-cased. A text of fewer words is one
+    shingle; one without words has none.
+    """
+    out: list[np.ndarray] = []
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    while len(out) < len(raw):
+        size, end = 0, len(out)
+        while end < len(raw) and (end == len(out) or size + len(raw[end]) < _CHUNK):
+            size += len(raw[end]) + 1
+            end += 1
+        word, first = _word_hashes(raw[len(out) : end])
+        n = len(word) - words + 1
+        whole = np.empty(0, np.uint64)
+        if n > 0:
+            whole = word[:n] + np.uint64(words)
+            for j in range(1, words):
+                whole = whole * _MIX[0] + word[j : n + j]
+            whole = _mixed(whole)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b - a >= words:
+                out.append(np.unique(whole[a : b - words + 1]))
+            else:
+                short = word[a : min(b, a + 1)] + np.uint64(b - a)
+                for j in range(a + 1, b):
+                    short = short * _MIX[0] + word[j : j + 1]
+                out.append(_mixed(short))
+    return out
 
 
 def linked(common: int, a: int, b: int, percent: int) -> bool:
@@ -97,8 +140,8 @@ def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, dtype=np.uint32)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts[_cell(shingles(text, words))] += 1  # repeats within a text fall together
+            for found in shingles_of(batch.column(0).to_pylist(), words):
+                counts[_cell(found)] += 1  # cells that a text meets twice count once
         blocks = [zlib.compress(counts[i * per : (i + 1) * per].tobytes(), 1) for i in range(BLOCKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
 
@@ -118,9 +161,14 @@ def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
     return out
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", text_or_empty()).alias("row"))
+
+
 def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, node and the prefix (its hashes as bytes) of each document, the last only where
-    this task first meets the node: copies add at most one prefix a task."""
+    """doc_id, row, n, node and the prefix (its hashes as bytes) of each document, the last only
+    where this task first meets the node: copies add at most one prefix a task. ``row`` is a hash
+    of id and text."""
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, words))
 
     def make():
@@ -128,8 +176,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
         def each(texts: list[str]) -> list[tuple]:
             out = []
-            for text in texts:
-                found = shingles(text, words)
+            for found in shingles_of(texts, words):
                 n = len(found)
                 if not n:
                     out.append((0, None, None))
@@ -137,7 +184,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 node = node_of(found)
                 prefix = None
                 if node not in seen:
-                    if len(seen) >= 500_000:
+                    if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(node)
                     first = n + percent * n // -100 + 1  # n - ceil(percent n / 100) + 1
@@ -147,7 +194,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
         return each
 
-    return map_texts(docs, ["doc_id"], [("n", "int"), ("node", "long"), ("prefix", "binary")], make)
+    return map_texts(_with_row(docs), ["doc_id", "row"], [("n", "int"), ("node", "long"), ("prefix", "binary")], make)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,11 +334,10 @@ def _cross_pairs(percent: int):
 def _texts(docs: DataFrame, prefixes: DataFrame, lists: DataFrame, words: int) -> DataFrame:
     """node and a compressed text of it, one row for each node of ``lists``.
 
-    A node's text comes from its document of least hash. A filter of fixed size over those hashes
-    lets few other texts through; the join that follows is exact.
+    A node's text comes from its document of least row hash. A filter of fixed size over those
+    hashes lets few other texts through; the join that follows is exact.
     """
-    row = F.xxhash64("doc_id")
-    chosen = prefixes.filter("node IS NOT NULL").groupBy("node").agg(F.min(row).alias("row"))
+    chosen = prefixes.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
     chosen = durable(chosen.join(lists.select("node").distinct(), "node", "left_semi"))
     bits = 1 << FILTER_BITS
     per = bits // 64
@@ -324,17 +370,12 @@ def _texts(docs: DataFrame, prefixes: DataFrame, lists: DataFrame, words: int) -
 
         def each(texts: list[str], rows: list[int]) -> list[list[tuple]]:
             passes = flags[np.array(rows, dtype=np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)]
-            out: list[list[tuple]] = []
-            for text, ok in zip(texts, passes.tolist(), strict=True):
-                found = shingles(text, words) if ok else ()
-                out.append([(node_of(found), press.compress(text.encode("utf-8", "surrogatepass")))] if len(found) else [])
-            return out
+            return [[(press.compress(t.encode("utf-8", "surrogatepass")),)] if ok else [] for t, ok in zip(texts, passes.tolist(), strict=True)]
 
         return each
 
-    keyed = docs.select(row.alias("row"), "text")
-    packed = map_texts(keyed, ["row"], [("node", "long"), ("z", "binary")], make, several=True, extra=["row"])
-    return durable(packed.join(chosen, ["node", "row"], "left_semi").select("node", "z").dropDuplicates(["node"]))
+    packed = map_texts(_with_row(docs), ["row"], [("z", "binary")], make, several=True, extra=["row"])
+    return durable(packed.join(chosen, "row").select("node", "z").dropDuplicates(["node"]))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -352,8 +393,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         head = np.empty(0, dtype=np.uint64)
         for batch in batches:
             left, right = [], []
-            for a, kind, node, z in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                found = shingles(expand.decompress(z).decode("utf-8", "surrogatepass"), words)
+            texts = [expand.decompress(z).decode("utf-8", "surrogatepass") for z in batch.column(4).to_pylist()]
+            for a, kind, node, found in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), shingles_of(texts, words), strict=True):
                 if kind == 0:
                     head = found
                 elif linked(len(np.intersect1d(head, found, assume_unique=True)), len(head), len(found), percent):
@@ -390,12 +431,13 @@ def _star_links(stars: DataFrame, texts: DataFrame, words: int, percent: int) ->
             return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for kind, node, z in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+            texts = [expand.decompress(z).decode("utf-8", "surrogatepass") for z in batch.column(5).to_pylist()]
+            for kind, node, found in zip(*(batch.column(i).to_pylist() for i in (3, 4)), shingles_of(texts, words), strict=True):
                 if kind == 0:
                     yield flush()
                     nodes, sets = [], []
                 nodes.append(node)
-                sets.append(shingles(expand.decompress(z).decode("utf-8", "surrogatepass"), words))
+                sets.append(found)
         yield flush()
 
     ordered = heads.unionByName(members).repartition("a", "c1", "c2").sortWithinPartitions("a", "c1", "c2", "kind")
