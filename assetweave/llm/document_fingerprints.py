@@ -12,6 +12,10 @@ LOW, HIGH = 0.002, 0.1
 #: Lexicon j keeps a term of the band with probability 2 ** -(1 + j // 2): texts of any length
 #: meet lexicons that hold only a few of their terms, which outlive small edits.
 LEXICONS = 16
+#: Set in the mask of a term above the band.
+ABOVE = 1 << LEXICONS
+#: A text is poor in band terms where it has over so many times as many terms above the band.
+POOR = 4
 #: Cells of the table by which terms are looked up.
 TABLE = 1 << 15
 #: Documents that are put in order together, and most ranges of doc_id.
@@ -24,18 +28,20 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, n_docs: int, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """term, mask: the terms of the band, counted over all documents, and the lexicons they are in.
+    """term, mask: the terms of the band and above, counted over all documents, and the lexicons they are in.
 
-    Documents hold ``low`` * n_docs times a term of the band at least, so the band has at most
-    (mean distinct terms of a document) / ``low`` terms, however many documents there are.
+    Documents hold ``low`` * n_docs times such a term at least, so there are at most
+    (mean distinct terms of a document) / ``low`` of them, however many documents there are. The
+    mask of a term above the band has the bit ``ABOVE`` too.
     """
     # The outer form, as for the inner one Spark would add a filter that finds the terms twice more.
     counted = docs.select(F.explode_outer(terms(text_or_empty())).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-    band = counted.filter((F.col("df") >= max(2.0, low * n_docs)) & (F.col("df") <= max(2.0, high * n_docs)))
+    band = counted.filter(F.col("df") >= max(2.0, low * n_docs))
+    above = F.when(F.col("df") > max(2.0, high * n_docs), F.lit(ABOVE)).otherwise(F.lit(0))
     digest = F.sha2("term", 256)
     bits = [F.when(F.conv(F.substring(digest, 4 * j + 1, 4), 16, 10).cast("int") < (65536 >> (1 + j // 2)), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(LEXICONS)]
     # No filter on the mask here: it depends on the term alone, so it would move below the count.
-    return band.select("term", sum(bits[1:], bits[0]).alias("mask"))
+    return band.select("term", sum(bits, above).alias("mask"))
 
 
 def lookup_table(lex: DataFrame) -> DataFrame:
@@ -46,12 +52,11 @@ def lookup_table(lex: DataFrame) -> DataFrame:
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "held"))), lambda x: x["held"]).alias("aw_table"))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, table: DataFrame) -> DataFrame:
-    """Add ``out``, an array of one hash a lexicon ("" where the text has no term of it).
+def with_kept(df: DataFrame, text: str, table: DataFrame) -> DataFrame:
+    """Add aw_kept, the text's terms (with masks) that the table holds, in order.
 
     The table is an uncorrelated scalar subquery that appears once in the expression, so each
-    executor holds it once and no row carries it. A text without terms in any lexicon has its own
-    hash in the last place, so that only equal texts of that sort agree.
+    executor holds it once and no row carries it.
     """
 
     def known(held: Column):
@@ -64,11 +69,40 @@ def with_fingerprint(df: DataFrame, text: str, out: str, table: DataFrame) -> Da
 
     columns = df.columns
     kept = df.select(*columns, terms(F.col(text)).alias("aw_terms"), table.scalar().alias("aw_table"))
-    kept = kept.select(
+    return kept.select(
         *columns,
         F.get(F.transform(F.array("aw_table"), lambda held: F.array_sort(F.filter(F.transform("aw_terms", known(held)), lambda x: x["mask"] != 0))), F.lit(0)).alias("aw_kept"),
     )
 
+
+def poor() -> Column:
+    """Whether aw_kept has few terms of the band for its terms above the band."""
+    n_above = F.size(F.filter("aw_kept", lambda x: x["mask"] >= ABOVE))
+    return n_above > POOR * (F.size("aw_kept") - n_above)
+
+
+def crowded(docs: DataFrame, n_docs: int, high: float, table: DataFrame) -> bool:
+    """Whether more than ``high`` of the documents are poor in band terms.
+
+    The terms of a group of near copies are above the band only where the group holds more than
+    ``high`` of the rows, and then its texts are poor; so below that there is no such group.
+    """
+    return with_kept(docs.select("text"), "text", table).filter(poor()).count() > max(2.0, high * n_docs)
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str, table: DataFrame, wide: Column | None = None) -> DataFrame:
+    """Add ``out``, an array of one hash a lexicon ("" where the text has no term of it).
+
+    Where ``wide`` (of columns of df and aw_kept) is true, the lexicons hold the terms above the
+    band too; without it the table must hold none. A text without terms in any lexicon has its own
+    hash in the last place, so that only equal texts of that sort agree.
+    """
+    columns = df.columns
+    kept = with_kept(df, text, table)
+    if wide is not None:
+        kept = kept.select(*columns, F.when(wide, F.col("aw_kept")).otherwise(F.filter("aw_kept", lambda x: x["mask"] < ABOVE)).alias("aw_kept"))
+        kept = kept.select(*columns, F.filter("aw_kept", lambda x: x["mask"].bitwiseAND(ABOVE - 1) != 0).alias("aw_kept"))
+
     def hashed(j: int) -> Column:
         mine = F.filter("aw_kept", lambda x: x["mask"].bitwiseAND(1 << j) != 0)
         return F.when(F.size(mine) > 0, F.substring(F.md5(F.array_join(F.transform(mine, lambda x: x["term"]), " ")), 1, 16)).otherwise(F.lit(""))
@@ -125,20 +159,33 @@ def fingerprints(docs: DataFrame, *, low: float = LOW, high: float = HIGH) -> Da
     """Fingerprints of every document and of its edited text, whose end is the next document's begin.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (the hashes of all
-    lexicons, comma-joined), near_edited and near_next. Null texts are empty. Rows of one id are in
+    lexicons, comma-joined), near_edited and near_next.
+
+    Terms in more than ``high`` of the documents are in no lexicon, unless more than ``high`` of the
+    documents are poor in band terms, as they are where one group of near copies is that large:
+    then the lexicons of poor texts, and of their edited texts, hold the terms above the band too.
+    ``ORACLE_SQL`` knows no such groups: there it gives each of their texts without band terms a
+    hash of its own. Null texts are empty. Rows of one id are in
     order of text; rows without an id come last; where no row has one, the last has an empty next
     document. One document alone is its own next. An empty table gives no rows.
     """
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     n, starts = _ranges(docs)
-    table = lookup_table(durable(lexicon(docs, n, low, high)))
-    own = with_fingerprint(docs, "text", "aw_own", table)
+    lex = durable(lexicon(docs, n, low, high))
+    table = lookup_table(lex)
+    wide = crowded(docs, n, high, table)
+    if wide:
+        own = with_kept(docs, "text", table).select("doc_id", "text", poor().alias("aw_wide"))
+        own = with_fingerprint(own, "text", "aw_own", table, F.col("aw_wide"))
+    else:
+        table = lookup_table(lex.filter(F.col("mask") < ABOVE))
+        own = with_fingerprint(docs, "text", "aw_own", table)
     paired = with_next(own, starts, ["text", "aw_own"])
     n_chars = F.length("text")
     half = F.floor(n_chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n_chars - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    paired = paired.select("doc_id", n_chars.cast("long").alias("n_chars"), edited.alias("aw_edited"), "aw_own", F.coalesce("next_aw_own", F.array_repeat(F.lit(""), LEXICONS)).alias("aw_next"))
-    both = with_fingerprint(paired, "aw_edited", "aw_new", table)
+    paired = paired.select("doc_id", n_chars.cast("long").alias("n_chars"), edited.alias("aw_edited"), "aw_own", *(["aw_wide"] if wide else []), F.coalesce("next_aw_own", F.array_repeat(F.lit(""), LEXICONS)).alias("aw_next"))
+    both = with_fingerprint(paired, "aw_edited", "aw_new", table, F.col("aw_wide") if wide else None)
     return both.select(
         "doc_id",
         "n_chars",

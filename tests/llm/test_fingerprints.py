@@ -72,6 +72,24 @@ def test_equal_and_near_texts(documents):
     assert mean("near_edited") > mean("near_next") + 0.05
 
 
+def test_a_third_is_near_copies(documents):
+    deal = random.Random(4)
+    vocabulary = ["".join(deal.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    base = [deal.choice(vocabulary) for _ in range(80)]
+
+    def near(i):
+        words = list(base)
+        for k, at in enumerate(deal.sample(range(80), 2)):
+            words[at] = f"only{i}x{k}" if i % 2 else deal.choice(vocabulary)
+        return " ".join(words)
+
+    texts = [near(i) for i in range(100)] + [" ".join(deal.choice(vocabulary) for _ in range(80)) for _ in range(200)]
+    got = sorted(d.fingerprints(documents(texts), low=0.01, high=0.25).collect(), key=lambda r: r["doc_id"])
+    mean = lambda c, rows: sum(r[c] for r in rows) / len(rows)
+    assert mean("near_next", got[:99]) > 0.5 and mean("near_edited", got[:99]) > 0.15
+    assert mean("near_next", got[100:]) < 0.1
+
+
 def test_edges(documents):
     assert d.fingerprints(documents([])).count() == 0
     alone = d.fingerprints(documents(["abc d"])).collect()[0]
