@@ -29,8 +29,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A cue that must be in a lower-cased text for ASSIGN to match; quick to look for.
 CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: What the models judge: long strings of one run that hold a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What the models judge: long strings of one run.
+LEAST = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+DIGITS, MARKS = "0123456789", "+/_=-"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 PLACE = {c: i for i, c in enumerate(ALPHABET)}
@@ -88,6 +90,8 @@ def identifiers(n: int = 3000, seed: int = 3) -> list[str]:
         number = str(deal.choice((deal.randint(0, 99), deal.randint(1990, 2030)))) if i % 3 == 0 else ""
         forms = ("_".join(words), "-".join(words), "".join(w.capitalize() for w in words), words[0] + "".join(w.capitalize() for w in words[1:]), "/".join(words), "_".join(words).upper(), "".join(words))
         out.append(forms[i % len(forms)] + number)
+        if i % 10 == 0:
+            out.append(deal.choice(MARKS) * deal.randint(4, 40))  # a ruled line
     return out
 
 
@@ -128,21 +132,57 @@ def spans(text: str, ratio: list[list[float]], threshold: float = THRESHOLD) ->
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted((s, e) for s, _, e in found)
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, b in base) or not looks_random(m.group(), ratio, threshold):
-            continue
-        found.append((s, 3, e))
+        s = m.start()
+        for i, j in random_parts(m.group(), ratio, threshold):
+            if not any(a < s + j and s + i < b for a, b in base):
+                found.append((s + i, 3, s + j))
     return sorted(found)
 
 
-def looks_random(candidate: str, ratio: list[list[float]], threshold: float = THRESHOLD) -> bool:
-    """Mixed letters and digits that the model of random strings explains better by far."""
-    digits = sum(map(str.isdigit, candidate))
-    letters = sum(map(str.isalpha, candidate))
-    if digits < 3 or letters < 3 or len(set(candidate)) < 10:
-        return False
-    score = mean_ratio(ratio, candidate)
-    return score > threshold and not math.isnan(score)
+def random_parts(run: str, ratio: list[list[float]], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """(start, end) of what the model of random strings explains better by far.
+
+    The whole run, where its mean ratio is above the threshold; else stretches of LEAST characters or
+    more whose ratios sum to more than threshold * LEAST: the best stretch, then those on either side
+    of it. A stretch goes on to the marks that bound its words.
+    """
+    if mean_ratio(ratio, run) > threshold:
+        return [(0, len(run))] if mixed(run) else []
+    out, open_ = [], [(0, len(run))]
+    while open_:
+        low, high = open_.pop()
+        s, e = best_stretch(run, low, high, ratio, threshold * LEAST)
+        if s == e:
+            continue
+        while s > low and run[s - 1] not in MARKS:
+            s -= 1
+        while e < high and run[e] not in MARKS:
+            e += 1
+        if mixed(run[s:e]):
+            out.append((s, e))
+        open_ += [(low, s), (e, high)]
+    return sorted(out)
+
+
+def mixed(part: str) -> bool:
+    """Mixed letters and digits."""
+    return sum(map(str.isdigit, part)) >= 3 and sum(map(str.isalpha, part)) >= 3 and len(set(part)) >= 10
+
+
+def best_stretch(run: str, low: int, high: int, ratio: list[list[float]], least: float) -> tuple[int, int]:
+    """The stretch of LEAST characters or more with the highest sum of ratios, if that is above ``least``."""
+    sums, before = [0.0], len(ALPHABET) if low == 0 else PLACE[run[low - 1]]
+    for c in run[low:high]:
+        here = PLACE[c]
+        sums.append(sums[-1] + ratio[before][here])
+        before = here
+    best, found, lowest = least, (0, 0), 0
+    for e in range(LEAST, len(sums)):
+        if sums[e - LEAST] < sums[lowest]:
+            lowest = e - LEAST
+        if sums[e] - sums[lowest] > best:
+            best, found = sums[e] - sums[lowest], (low + lowest, low + e)
+    return found
 
 
 def digest(found: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:

@@ -79,3 +79,14 @@ def test_secret_models(documents):
     assert got[50]["n_markov"] == 1 and not any(got[i]["spans"] for i in range(50))
     assert got[53]["spans"] == "assign:0:19" and got[51]["spans"] == ""
     assert s.scan(documents([])).count() == 0
+
+
+def test_keys_after_names_and_in_paths():
+    deal = random.Random(12)
+    for before in ("client_credential=", "/users/account/settings/download/", "AWS_SECRET_ACCESS_KEY="):
+        caught = 0
+        for _ in range(100):
+            text = f"see {before}{''.join(deal.choice(s.ALPHABET[:62]) for _ in range(40))} here"
+            at = 4 + len(before)
+            caught += any(k == 3 and a <= at + 2 and b >= at + 38 for a, k, b in s.spans(text, RATIO))
+        assert caught >= 90
