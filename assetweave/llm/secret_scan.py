@@ -144,10 +144,10 @@ def random_parts(run: str, ratio: list[list[float]], threshold: float = THRESHOL
 
     The whole run, where its mean ratio is above the threshold; else stretches of LEAST characters or
     more whose ratios sum to more than threshold * LEAST: the best stretch, then those on either side
-    of it. A stretch goes on to the marks that bound its words.
+    of it. A stretch goes on to the marks that bound its words. Digits alone are a number.
     """
     if mean_ratio(ratio, run) > threshold:
-        return [(0, len(run))] if mixed(run) else []
+        return [(0, len(run))] if run.strip(MARKS + DIGITS) else []
     out, open_ = [], [(0, len(run))]
     while open_:
         low, high = open_.pop()
@@ -158,17 +158,12 @@ def random_parts(run: str, ratio: list[list[float]], threshold: float = THRESHOL
             s -= 1
         while e < high and run[e] not in MARKS:
             e += 1
-        if mixed(run[s:e]):
+        if run[s:e].strip(MARKS + DIGITS):
             out.append((s, e))
         open_ += [(low, s), (e, high)]
     return sorted(out)
 
 
-def mixed(part: str) -> bool:
-    """Mixed letters and digits."""
-    return sum(map(str.isdigit, part)) >= 3 and sum(map(str.isalpha, part)) >= 3 and len(set(part)) >= 10
-
-
 def best_stretch(run: str, low: int, high: int, ratio: list[list[float]], least: float) -> tuple[int, int]:
     """The stretch of LEAST characters or more with the highest sum of ratios, if that is above ``least``."""
     sums, before = [0.0], len(ALPHABET) if low == 0 else PLACE[run[low - 1]]

@@ -90,3 +90,12 @@ def test_keys_after_names_and_in_paths():
             at = 4 + len(before)
             caught += any(k == 3 and a <= at + 2 and b >= at + 38 for a, k, b in s.spans(text, RATIO))
         assert caught >= 90
+
+
+def test_keys_of_letters_and_of_any_length():
+    deal = random.Random(13)
+    for n in (20, 24, 32, 40):
+        for letters in (52, 62):
+            keys = ["".join(deal.choice(s.ALPHABET[:letters]) for _ in range(n)) for _ in range(100)]
+            assert sum(any(k == 3 for _, k, _ in s.spans(f"see {key} here", RATIO)) for key in keys) >= 85
+    assert not any(k == 3 for x in ("=" * 40, "-" * 30, "_" * 25, "1234567890" * 3) for _, k, _ in s.spans(f"see {x} here", RATIO))
