@@ -15,8 +15,10 @@ from .common import map_texts
 KINDS = ("email", "ip", "card", "phone", "login", "iban", "ssn")
 N_BASE = 4
 DIGITS = "0123456789"
-#: Cues: at-signs, plus signs and digits (numbers), schemes, and words that announce an identifier.
-CUES = ("@", "+", *DIGITS, "://", "iban", "IBAN", "Iban", "ssn", "SSN", "social security")
+#: Cues: at-signs, plus signs and digits (numbers), schemes, and words (in any case) that announce an identifier.
+CUES = ("@", "+", *DIGITS, "://", "iban", "ssn", "social security")
+#: Lower case for ASCII only, which keeps places.
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -25,7 +27,18 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"[A-Za-z0-9._~%+-]+:[^\s/@:]+@[A-Za-z0-9.-]*[A-Za-z0-9]")
 IBAN = re.compile(r"(?:[A-Za-z]*)[\x20:#=]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-SSN = re.compile(r"(?:number|no\.?)?[\x20:#=]*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+#: An IBAN that no word announces: its country says how long it is.
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+        "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 "
+        "QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+IBAN_BODIES = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
+SSN = re.compile(r"(?:[Nn][Uu][Mm][Bb][Ee][Rr]|[Nn][Oo]\.?)?[\x20:#=]*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -63,7 +76,7 @@ def spans(text: str, cues: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """
     found: list[tuple[int, int, int]] = []
     email_end = ip_end = card_end = phone_end = 0
-    for last, cue in cues.iter(text):
+    for last, cue in cues.iter(text.translate(LOWER)):
         at = last + 1 - len(cue)
         if cue in DIGITS:
             if at >= card_end and (m := CARD.match(text, at)):
@@ -71,6 +84,10 @@ def spans(text: str, cues: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
                 digits = m.group().replace(" ", "").replace("-", "")
                 if 12 <= len(digits) <= 19 and luhn(digits):
                     found.append((at, 2, card_end))
+            if at >= 2 and text[at - 2 : at] in IBAN_LENGTHS and IBAN_START.match(text, at - 2):
+                m = IBAN_BODIES[IBAN_LENGTHS[text[at - 2 : at]]].match(text, at - 2)
+                if m and iban_valid(m.group()) and (m.start(), 5, m.end()) not in found:
+                    found.append((m.start(), 5, m.end()))
             if at >= ip_end and (at == ip_end or text[at - 1] not in DIGITS) and (m := IP.match(text, at)):
                 ip_end = m.end()
                 if all(int(part) <= 255 for part in m.group().split(".")):
@@ -90,7 +107,7 @@ def spans(text: str, cues: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
         elif cue == "://":
             if m := LOGIN.match(text, last + 1):
                 found.append((m.start(), 4, m.end()))
-        elif cue in ("ssn", "SSN", "social security"):
+        elif cue in ("ssn", "social security"):
             if (m := SSN.match(text, last + 1 + (text[last + 1 : last + 2] == " "))) and ssn_valid(m.group(1)):
                 found.append((m.start(1), 6, m.end(1)))
         elif (m := IBAN.match(text, last + 1)) and iban_valid(m.group(1)):

@@ -99,3 +99,12 @@ def test_keys_of_letters_and_of_any_length():
             keys = ["".join(deal.choice(s.ALPHABET[:letters]) for _ in range(n)) for _ in range(100)]
             assert sum(any(k == 3 for _, k, _ in s.spans(f"see {key} here", RATIO)) for key in keys) >= 85
     assert not any(k == 3 for x in ("=" * 40, "-" * 30, "_" * 25, "1234567890" * 3) for _, k, _ in s.spans(f"see {x} here", RATIO))
+
+
+def test_cues_in_any_case_and_ibans_without_one():
+    for text in ("Social Security 123-45-6789", "SOCIAL SECURITY NUMBER: 123-45-6789", "Ssn 123-45-6789", "SSN Number: 123-45-6789"):
+        assert [text[a:b] for a, k, b in pii.spans(text, CUES) if k == 6] == ["123-45-6789"]
+    iban = "DE89 3704 0044 0532 0130 00"
+    for text in (f"pay to {iban} today", f"pay {iban.replace(' ', '')}.", f"iBaN: {iban}", f"IBAN {iban}", f"{iban} THAT IS IT"):
+        assert [text[a:b].replace(" ", "") for a, k, b in pii.spans(text, CUES) if k == 5] == [iban.replace(" ", "")]
+    assert not [x for x in pii.spans("pay DE88 3704 0044 0532 0130 00 or XDE89370400440532013000", CUES) if x[1] == 5]
