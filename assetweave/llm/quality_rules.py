@@ -136,7 +136,8 @@ def judge(docs: DataFrame, *, min_group: int = MIN_GROUP) -> DataFrame:
     A document fails the base rules with fewer than 20 words, or where over 30 % of its words stand
     in repeated windows. Of the others, those beyond a fence of their language and source go:
     share of symbols, of repeated lines and of repeated words, and word length on both sides. The
-    counts are checkpointed once; sketches and verdicts read them from there.
+    rule on repeated words is inert: its fence is at 300 permille at least, beyond which the base
+    rules fail a document already. The counts are checkpointed once; sketches and verdicts read them from there.
 
     Null or empty text has no words and fails the base rules; null languages and sources are groups
     of their own; repeated rows are judged alike; an empty table gives no rows.
