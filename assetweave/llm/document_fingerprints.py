@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +11,18 @@ from .common import GAP, durable, text_or_empty
 
 #: A term's document frequency, as a share of all documents, lies in this band (and is 2 at least).
 LOW, HIGH = 0.002, 0.1
-#: Lexicon j keeps a term of the band with probability 2 ** -(1 + j // 2): texts of any length
-#: meet lexicons that hold only a few of their terms, which outlive small edits.
+#: Lexicons of a level; one of level k keeps a term with probability 2 ** -k.
 LEXICONS = 16
-#: Set in the mask of a term above the band.
-ABOVE = 1 << LEXICONS
+#: Hashes of a text: those of its own level's lexicons and of the next.
+PLACES = 2 * LEXICONS
+#: Added to the highest level of a term above the band.
+ABOVE = 16
 #: A text is poor in band terms where it has over so many times as many terms above the band.
 POOR = 4
 #: Cells of the table by which terms are looked up.
 TABLE = 1 << 15
 #: Documents that are put in order together, and most ranges of doc_id.
-PER_RANGE, MOST_RANGES = 1000, 1024
+PER_RANGE, MOST_RANGES = 1000, 1 << 16
 
 
 def terms(text: Column) -> Column:
@@ -28,32 +31,34 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, n_docs: int, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """term, mask: the terms of the band and above, counted over all documents, and the lexicons they are in.
+    """term, levels, top: the terms of the band and above, counted over all documents, and the lexicons they are in.
 
     Documents hold ``low`` * n_docs times such a term at least, so there are at most
-    (mean distinct terms of a document) / ``low`` of them, however many documents there are. The
-    mask of a term above the band has the bit ``ABOVE`` too.
+    (mean distinct terms of a document) / ``low`` of them, however many documents there are. For
+    each of 16 lexicons ``levels`` has four bits, the highest level at which it keeps the term
+    (leading zeros of 16 random bits); ``top`` is the highest of them, and ABOVE more for a term
+    above the band.
     """
     # The outer form, as for the inner one Spark would add a filter that finds the terms twice more.
     counted = docs.select(F.explode_outer(terms(text_or_empty())).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     band = counted.filter(F.col("df") >= max(2.0, low * n_docs))
     above = F.when(F.col("df") > max(2.0, high * n_docs), F.lit(ABOVE)).otherwise(F.lit(0))
-    digest = F.sha2("term", 256)
-    bits = [F.when(F.conv(F.substring(digest, 4 * j + 1, 4), 16, 10).cast("int") < (65536 >> (1 + j // 2)), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(LEXICONS)]
-    # No filter on the mask here: it depends on the term alone, so it would move below the count.
-    return band.select("term", sum(bits, above).alias("mask"))
+    level = [16 - F.length(F.bin(F.conv(F.substring(F.sha2("term", 256), 4 * i + 1, 4), 16, 10).cast("long"))) for i in range(LEXICONS)]
+    levels = reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(x.cast("long"), 4 * i) for i, x in enumerate(level)])
+    # No filter on these here: they depend on the term alone, so it would move below the count.
+    return band.select("term", levels.alias("levels"), (F.greatest(*level) + above).alias("top"))
 
 
 def lookup_table(lex: DataFrame) -> DataFrame:
-    """One row: an array of cells, each an array of (hash of a term, mask). Its size is that of the band."""
-    cells = lex.filter("mask <> 0").withColumn("h", F.xxhash64("term")).groupBy(F.pmod("h", F.lit(TABLE)).alias("cell")).agg(F.collect_list(F.struct("h", "mask")).alias("held"))
+    """One row: an array of cells, each an array of (hash of a term, levels, top). Its size is that of the band."""
+    cells = lex.withColumn("h", F.xxhash64("term")).groupBy(F.pmod("h", F.lit(TABLE)).alias("cell")).agg(F.collect_list(F.struct("h", "levels", "top")).alias("held"))
     every = lex.sparkSession.range(TABLE).withColumnRenamed("id", "cell").join(cells, "cell", "left")
-    every = every.select("cell", F.coalesce("held", F.array().cast("array<struct<h:bigint,mask:int>>")).alias("held"))
+    every = every.select("cell", F.coalesce("held", F.array().cast("array<struct<h:bigint,levels:bigint,top:int>>")).alias("held"))
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "held"))), lambda x: x["held"]).alias("aw_table"))
 
 
 def with_kept(df: DataFrame, text: str, table: DataFrame) -> DataFrame:
-    """Add aw_kept, the text's terms (with masks) that the table holds, in order.
+    """Add aw_kept, the text's terms (with levels and top) that the table holds.
 
     The table is an uncorrelated scalar subquery that appears once in the expression, so each
     executor holds it once and no row carries it.
@@ -63,7 +68,7 @@ def with_kept(df: DataFrame, text: str, table: DataFrame) -> DataFrame:
         def one(term: Column) -> Column:
             h = F.xxhash64(term)
             found = F.get(F.filter(F.get(held, F.pmod(h, F.lit(TABLE)).cast("int")), lambda e: e["h"] == h), 0)
-            return F.struct(term.alias("term"), F.coalesce(found["mask"], F.lit(0)).alias("mask"))
+            return F.struct(term.alias("term"), found["levels"].alias("levels"), found["top"].alias("top"))
 
         return one
 
@@ -71,45 +76,46 @@ def with_kept(df: DataFrame, text: str, table: DataFrame) -> DataFrame:
     kept = df.select(*columns, terms(F.col(text)).alias("aw_terms"), table.scalar().alias("aw_table"))
     return kept.select(
         *columns,
-        F.get(F.transform(F.array("aw_table"), lambda held: F.array_sort(F.filter(F.transform("aw_terms", known(held)), lambda x: x["mask"] != 0))), F.lit(0)).alias("aw_kept"),
+        F.get(F.transform(F.array("aw_table"), lambda held: F.filter(F.transform("aw_terms", known(held)), lambda x: x["top"].isNotNull())), F.lit(0)).alias("aw_kept"),
     )
 
 
 def poor() -> Column:
     """Whether aw_kept has few terms of the band for its terms above the band."""
-    n_above = F.size(F.filter("aw_kept", lambda x: x["mask"] >= ABOVE))
+    n_above = F.size(F.filter("aw_kept", lambda x: x["top"] >= ABOVE))
     return n_above > POOR * (F.size("aw_kept") - n_above)
 
 
-def crowded(docs: DataFrame, n_docs: int, high: float, table: DataFrame) -> bool:
-    """Whether more than ``high`` of the documents are poor in band terms.
+def with_fingerprint(df: DataFrame, text: str, out: str, table: DataFrame, wide: Column) -> DataFrame:
+    """Add ``out``, an array of PLACES hashes ("" where the text has no term of that lexicon), and aw_wide.
 
-    The terms of a group of near copies are above the band only where the group holds more than
-    ``high`` of the rows, and then its texts are poor; so below that there is no such group.
+    Where ``wide`` (of columns of df and aw_kept) is true, the lexicons hold the terms above the
+    band too. A text of n known terms has level log2(n), rounded down, so a lexicon of its level keeps
+    one or two of its terms; the hashes of even levels come first, so that texts of neighbouring
+    levels have one level in common. A text without a term in any of its lexicons has its own hash
+    in the last place, so that only equal texts of that sort agree.
     """
-    return with_kept(docs.select("text"), "text", table).filter(poor()).count() > max(2.0, high * n_docs)
+    columns = [c for c in df.columns if c != "aw_wide"]
+    kept = with_kept(df, text, table).select(*df.columns, "aw_kept", wide.alias("aw_is_wide"))
+    kept = kept.select(*columns, F.col("aw_is_wide").alias("aw_wide"), F.filter("aw_kept", lambda x: F.col("aw_is_wide") | (x["top"] < ABOVE)).alias("aw_kept"))
+    level = F.length(F.bin(F.size("aw_kept").cast("long"))) - 1
+    few = F.array_sort(F.filter("aw_kept", lambda x: x["top"] % ABOVE >= F.col("aw_level")))
+    kept = kept.select(*columns, "aw_wide", "aw_kept", level.alias("aw_level")).select(*columns, "aw_wide", "aw_level", few.alias("aw_few"))
 
+    def hashed(up: int) -> Column:
+        at = F.col("aw_level") + up
 
-def with_fingerprint(df: DataFrame, text: str, out: str, table: DataFrame, wide: Column | None = None) -> DataFrame:
-    """Add ``out``, an array of one hash a lexicon ("" where the text has no term of it).
+        def one(i: int) -> Column:
+            mine = F.filter("aw_few", lambda x: F.shiftright(x["levels"], 4 * i).bitwiseAND(15) >= at)
+            joined = F.array_join(F.transform(mine, lambda x: x["term"]), " ")
+            return F.when(joined != "", F.substring(F.md5(F.concat(at.cast("string"), F.lit(" "), joined)), 1, 16)).otherwise(F.lit(""))
 
-    Where ``wide`` (of columns of df and aw_kept) is true, the lexicons hold the terms above the
-    band too; without it the table must hold none. A text without terms in any lexicon has its own
-    hash in the last place, so that only equal texts of that sort agree.
-    """
-    columns = df.columns
-    kept = with_kept(df, text, table)
-    if wide is not None:
-        kept = kept.select(*columns, F.when(wide, F.col("aw_kept")).otherwise(F.filter("aw_kept", lambda x: x["mask"] < ABOVE)).alias("aw_kept"))
-        kept = kept.select(*columns, F.filter("aw_kept", lambda x: x["mask"].bitwiseAND(ABOVE - 1) != 0).alias("aw_kept"))
-
-    def hashed(j: int) -> Column:
-        mine = F.filter("aw_kept", lambda x: x["mask"].bitwiseAND(1 << j) != 0)
-        return F.when(F.size(mine) > 0, F.substring(F.md5(F.array_join(F.transform(mine, lambda x: x["term"]), " ")), 1, 16)).otherwise(F.lit(""))
+        return F.array(*[one(i) for i in range(LEXICONS)])
 
-    none = F.size("aw_kept") == 0
-    empty = F.concat(F.array_repeat(F.lit(""), LEXICONS - 1), F.array(F.substring(F.md5(F.col(text)), 1, 16)))
-    return kept.select(*columns, F.when(none, empty).otherwise(F.array(*[hashed(j) for j in range(LEXICONS)])).alias(out))
+    kept = kept.select(*columns, "aw_wide", "aw_level", hashed(0).alias("aw_here"), hashed(1).alias("aw_next_level"))
+    marks = F.when(F.col("aw_level") % 2 == 0, F.concat("aw_here", "aw_next_level")).otherwise(F.concat("aw_next_level", "aw_here"))
+    alone = F.concat(F.array_repeat(F.lit(""), PLACES - 1), F.array(F.substring(F.md5(F.col(text)), 1, 16)))
+    return kept.select(*columns, "aw_wide", marks.alias("aw_marks"), alone.alias("aw_alone")).select(*columns, "aw_wide", F.when(F.array_max("aw_marks") != "", F.col("aw_marks")).otherwise(F.col("aw_alone")).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,7 +132,7 @@ def _ranges(docs: DataFrame) -> tuple[int, list[int]]:
     """
     n = docs.count()
     parts = min(MOST_RANGES, max(1, n // PER_RANGE))
-    got = docs.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 20000).alias("at")).first()
+    got = docs.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], max(20000, 10 * parts)).alias("at")).first()
     return n, sorted({got["low"], *(got["at"] or ())} - {None}) if got["low"] is not None else []
 
 
@@ -138,7 +144,7 @@ def with_next(df: DataFrame, starts: list[int], carried: list[str]) -> DataFrame
     """
     columns = df.columns
     if starts:
-        bounds = F.array(*[F.lit(s) for s in starts])
+        bounds = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
         steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(starts).bit_length()))])
         last = len(starts) - 1
         index = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(bounds, at + s - 1) <= F.col("doc_id"), at + s).otherwise(at)) - 1
@@ -158,34 +164,25 @@ def with_next(df: DataFrame, starts: list[int], carried: list[str]) -> DataFrame
 def fingerprints(docs: DataFrame, *, low: float = LOW, high: float = HIGH) -> DataFrame:
     """Fingerprints of every document and of its edited text, whose end is the next document's begin.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (the hashes of all
+    Returns doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (the hashes of a text's
     lexicons, comma-joined), near_edited and near_next.
 
-    Terms in more than ``high`` of the documents are in no lexicon, unless more than ``high`` of the
-    documents are poor in band terms, as they are where one group of near copies is that large:
-    then the lexicons of poor texts, and of their edited texts, hold the terms above the band too.
-    ``ORACLE_SQL`` knows no such groups: there it gives each of their texts without band terms a
-    hash of its own. Null texts are empty. Rows of one id are in
-    order of text; rows without an id come last; where no row has one, the last has an empty next
-    document. One document alone is its own next. An empty table gives no rows.
+    Terms in more than ``high`` of the documents are in no lexicon, but for texts that are poor in
+    band terms, as all are in one group of near copies that is larger than that: the lexicons of a
+    poor text, and of its edited text, hold the terms above the band too. Null texts are empty.
+    Rows of one id are in order of text; rows without an id come last; where no row has one, the
+    last has an empty next document. One document alone is its own next. An empty table gives no rows.
     """
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     n, starts = _ranges(docs)
-    lex = durable(lexicon(docs, n, low, high))
-    table = lookup_table(lex)
-    wide = crowded(docs, n, high, table)
-    if wide:
-        own = with_kept(docs, "text", table).select("doc_id", "text", poor().alias("aw_wide"))
-        own = with_fingerprint(own, "text", "aw_own", table, F.col("aw_wide"))
-    else:
-        table = lookup_table(lex.filter(F.col("mask") < ABOVE))
-        own = with_fingerprint(docs, "text", "aw_own", table)
+    table = lookup_table(durable(lexicon(docs, n, low, high)))
+    own = with_fingerprint(docs, "text", "aw_own", table, poor())
     paired = with_next(own, starts, ["text", "aw_own"])
     n_chars = F.length("text")
     half = F.floor(n_chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n_chars - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    paired = paired.select("doc_id", n_chars.cast("long").alias("n_chars"), edited.alias("aw_edited"), "aw_own", *(["aw_wide"] if wide else []), F.coalesce("next_aw_own", F.array_repeat(F.lit(""), LEXICONS)).alias("aw_next"))
-    both = with_fingerprint(paired, "aw_edited", "aw_new", table, F.col("aw_wide") if wide else None)
+    paired = paired.select("doc_id", n_chars.cast("long").alias("n_chars"), edited.alias("aw_edited"), "aw_own", "aw_wide", F.coalesce("next_aw_own", F.array_repeat(F.lit(""), PLACES)).alias("aw_next"))
+    both = with_fingerprint(paired, "aw_edited", "aw_new", table, F.col("aw_wide"))
     return both.select(
         "doc_id",
         "n_chars",
@@ -197,8 +194,8 @@ def fingerprints(docs: DataFrame, *, low: float = LOW, high: float = HIGH) -> Da
     )
 
 
-_MASK_SQL = "[" + ", ".join(f"('0x' || substr(sha256(term), {4 * j + 1}, 4))::INT < {65536 >> (1 + j // 2)}" for j in range(LEXICONS)) + "]"
-_FP_SQL = "[" + ", ".join(f"coalesce(substr(md5(string_agg(term, ' ' ORDER BY term) FILTER (m[{j + 1}])), 1, 16), '')" for j in range(LEXICONS)) + "]"
+_LEVELS_SQL = "[" + ", ".join(f"16 - length(bin(('0x' || substr(sha256(term), {4 * i + 1}, 4))::INT))" for i in range(LEXICONS)) + "]"
+_FP_SQL = "[" + ", ".join(f"coalesce(max(h) FILTER (place = {k}), '')" for k in range(PLACES)) + "]"
 
 ORACLE_SQL = rf"""
 WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -209,17 +206,23 @@ near AS (
 all_texts AS (SELECT r, 0 AS kind, t FROM near UNION ALL SELECT r, 1, e FROM near),
 tt AS (SELECT DISTINCT r, kind, unnest(string_split_regex(lower(t), '{GAP}')) AS term FROM all_texts),
 lex AS (
-  SELECT term, {_MASK_SQL} AS m FROM (SELECT term, count(*) AS df FROM tt WHERE kind = 0 AND term <> '' GROUP BY term)
-  WHERE df >= greatest(2, {LOW} * (SELECT count(*) FROM docs)) AND df <= greatest(2, {HIGH} * (SELECT count(*) FROM docs))),
-f0 AS (SELECT r, kind, {_FP_SQL} AS f FROM tt JOIN lex USING (term) WHERE list_contains(m, true) GROUP BY r, kind),
+  SELECT term, {_LEVELS_SQL} AS z, df > greatest(2, {HIGH} * (SELECT count(*) FROM docs)) AS above
+  FROM (SELECT term, count(*) AS df FROM tt WHERE kind = 0 AND term <> '' GROUP BY term) WHERE df >= greatest(2, {LOW} * (SELECT count(*) FROM docs))),
+known AS (SELECT r, kind, term, z, above FROM tt JOIN lex USING (term)),
+wide AS (SELECT r, count(*) FILTER (above) > {POOR} * count(*) FILTER (NOT above) AS wide FROM known WHERE kind = 0 GROUP BY r),
+kept AS (SELECT r, kind, term, z, length(bin(count(*) OVER (PARTITION BY r, kind))) - 1 AS lvl FROM known LEFT JOIN wide USING (r) WHERE NOT above OR coalesce(wide, false)),
+marks AS (
+  SELECT r, kind, ((lvl + up) % 2) * {LEXICONS} + i - 1 AS place, substr(md5((lvl + up)::VARCHAR || ' ' || string_agg(term, ' ' ORDER BY term)), 1, 16) AS h
+  FROM kept, (SELECT unnest([0, 1]) AS up), (SELECT unnest(range(1, {LEXICONS + 1})) AS i) WHERE z[i] >= lvl + up GROUP BY r, kind, lvl, up, i),
+f0 AS (SELECT r, kind, {_FP_SQL} AS f FROM marks GROUP BY r, kind),
 fp AS (
-  SELECT x.r, x.kind, coalesce(f, list_concat([{", ".join(["''"] * (LEXICONS - 1))}], [substr(md5(t), 1, 16)])) AS f
+  SELECT x.r, x.kind, coalesce(f, list_concat([{", ".join(["''"] * (PLACES - 1))}], [substr(md5(t), 1, 16)])) AS f
   FROM all_texts x LEFT JOIN f0 ON f0.r = x.r AND f0.kind = x.kind),
 j AS (
   SELECT near.*, a.f AS f, b.f AS ef, c.f AS nf FROM near
   JOIN fp a ON a.r = near.r AND a.kind = 0 JOIN fp b ON b.r = near.r AND b.kind = 1 JOIN fp c ON c.r = near.nr AND c.kind = 0)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(e) AS edited_sha256, array_to_string(f, ',') AS fingerprint, array_to_string(ef, ',') AS edited_fingerprint,
-       len(list_filter(range(1, {LEXICONS + 1}), lambda i: f[i] <> '' AND f[i] = ef[i]))::DOUBLE / len(list_filter(range(1, {LEXICONS + 1}), lambda i: f[i] <> '' OR ef[i] <> '')) AS near_edited,
-       len(list_filter(range(1, {LEXICONS + 1}), lambda i: f[i] <> '' AND f[i] = nf[i]))::DOUBLE / len(list_filter(range(1, {LEXICONS + 1}), lambda i: f[i] <> '' OR nf[i] <> '')) AS near_next
+       len(list_filter(range(1, {PLACES + 1}), lambda i: f[i] <> '' AND f[i] = ef[i]))::DOUBLE / len(list_filter(range(1, {PLACES + 1}), lambda i: f[i] <> '' OR ef[i] <> '')) AS near_edited,
+       len(list_filter(range(1, {PLACES + 1}), lambda i: f[i] <> '' AND f[i] = nf[i]))::DOUBLE / len(list_filter(range(1, {PLACES + 1}), lambda i: f[i] <> '' OR nf[i] <> '')) AS near_next
 FROM j
 """
