@@ -11,15 +11,17 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Counts of a text that the base rules and the adaptive rules go by.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: So many repeated words count for nothing: a short header or footer that stands twice.
+ALLOWED_REPEATS = 32
 #: Rules: name, value on an integer grid, highest grid cell, slack in cells added to the fence, whether low values fail too.
 RULES = (
     ("symbols", "1000 * n_symbols div nullif(word_chars, 0)", 1000, 50, False),
     ("dup_lines", "1000 * n_dup_lines div nullif(n_words, 0)", 1000, 50, False),
-    ("repeats", "1000 * n_repeat_words div nullif(n_words, 0)", 1000, 300, False),
+    ("repeats", f"1000 * greatest(n_repeat_words - {ALLOWED_REPEATS}, 0) div nullif(n_words, 0)", 1000, 50, False),
     ("word_length", "100 * word_chars div nullif(n_words, 0)", 10000, 100, True),
 )
-#: A group with fewer documents takes its language's thresholds, and such a language those of all documents.
-MIN_GROUP = 100
+#: A group's fences count as its number of documents, against its language's as so many; a language's likewise against those of all documents.
+PRIOR = 100
 #: Fences lie so many interquartile ranges beyond the quartiles.
 FENCE = 6
 
@@ -110,40 +112,36 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return quartiles.groupBy(*keys).agg(*out)
 
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """A row per language and source: its own fences, or its language's, or those of all documents."""
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """A row per language and source: its fences, drawn towards its language's, and those towards
+    the fences of all documents, by numbers of documents against ``prior``."""
     names = [f"{name}_{end}" for name, _, _, _, low in RULES for end in (("high", "low") if low else ("high",))]
 
     def level(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*[c for c in ("lang_key", "source_key") if c in df.columns], *[F.col(c).alias(f"{tag}_{c}") for c in ("n_docs", *names)], F.lit(1).alias("aw_one"))
+        return df.select(*[c for c in ("lang_key", "source_key") if c in df.columns], *[F.col(c).cast("double").alias(f"{tag}_{c}") for c in ("n_docs", *names)], F.lit(1).alias("aw_one"))
+
+    def drawn(n: str, own: str, to: Column) -> Column:
+        return (F.col(n) * F.col(own) + F.lit(float(prior)) * to) / (F.col(n) + F.lit(float(prior)))
 
     whole = sketch.withColumn("aw_all", F.lit(1))
     top = level(fences(whole, ["aw_all"]), "t")
     joined = level(fences(sketch, ["lang_key", "source_key"]), "s").join(level(fences(sketch, ["lang_key"]), "l").drop("aw_one"), "lang_key").join(top, "aw_one")
-    return joined.select(
-        "lang_key",
-        "source_key",
-        *[
-            F.when(F.col("s_n_docs") >= min_group, F.col(f"s_{c}")).when(F.col("l_n_docs") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"t_{c}")).alias(c)
-            for c in names
-        ],
-    )
+    return joined.select("lang_key", "source_key", *[drawn("s_n_docs", f"s_{c}", drawn("l_n_docs", f"l_{c}", F.col(f"t_{c}"))).alias(c) for c in names])
 
 
-def judge(docs: DataFrame, *, min_group: int = MIN_GROUP) -> DataFrame:
+def judge(docs: DataFrame, *, prior: int = PRIOR) -> DataFrame:
     """doc_id, the five counts, base_failed and kept for every document.
 
     A document fails the base rules with fewer than 20 words, or where over 30 % of its words stand
     in repeated windows. Of the others, those beyond a fence of their language and source go:
-    share of symbols, of repeated lines and of repeated words, and word length on both sides. The
-    rule on repeated words is inert: its fence is at 300 permille at least, beyond which the base
-    rules fail a document already. The counts are checkpointed once; sketches and verdicts read them from there.
+    share of symbols, of repeated lines and of repeated words beyond a few, and word length on both
+    sides. The counts are checkpointed once; sketches and verdicts read them from there.
 
     Null or empty text has no words and fails the base rules; null languages and sources are groups
     of their own; repeated rows are judged alike; an empty table gives no rows.
     """
     counts = durable(text_counts(docs)).withColumns({"lang_key": null_key("lang"), "source_key": null_key("source")})
-    limits = thresholds(sketches(counts), min_group)
+    limits = thresholds(sketches(counts), prior)
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     beyond = F.lit(False)
     for name, value, _, _, low in RULES:
@@ -186,10 +184,10 @@ lev AS (
 q AS (
   SELECT l, s, rule, count(*) AS n_docs,
          quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3 FROM lev GROUP BY l, s, rule),
-f AS (SELECT *, q3 + {FENCE} * (q3 - q1) + {_SLACK_SQL} AS hi, q1 - {FENCE} * (q3 - q1) - {_SLACK_SQL} AS lo FROM q),
+f AS (SELECT l, s, rule, n_docs::DOUBLE AS n, (q3 + {FENCE} * (q3 - q1) + {_SLACK_SQL})::DOUBLE AS hi, (q1 - {FENCE} * (q3 - q1) - {_SLACK_SQL})::DOUBLE AS lo FROM q),
 out_ AS (
-  SELECT rid, bool_or(raw > CASE WHEN a.n_docs >= {MIN_GROUP} THEN a.hi WHEN b.n_docs >= {MIN_GROUP} THEN b.hi ELSE c.hi END
-         OR (cells.rule = 'word_length' AND raw < CASE WHEN a.n_docs >= {MIN_GROUP} THEN a.lo WHEN b.n_docs >= {MIN_GROUP} THEN b.lo ELSE c.lo END)) AS beyond
+  SELECT rid, bool_or(raw > (a.n * a.hi + {PRIOR}::DOUBLE * ((b.n * b.hi + {PRIOR}::DOUBLE * c.hi) / (b.n + {PRIOR}::DOUBLE))) / (a.n + {PRIOR}::DOUBLE)
+         OR (cells.rule = 'word_length' AND raw < (a.n * a.lo + {PRIOR}::DOUBLE * ((b.n * b.lo + {PRIOR}::DOUBLE * c.lo) / (b.n + {PRIOR}::DOUBLE))) / (a.n + {PRIOR}::DOUBLE))) AS beyond
   FROM cells JOIN f a ON a.l = cells.l AND a.s = cells.s AND a.rule = cells.rule
   JOIN f b ON b.l = cells.l AND b.s IS NULL AND b.rule = cells.rule
   JOIN f c ON c.l IS NULL AND c.s IS NULL AND c.rule = cells.rule GROUP BY rid),

@@ -39,6 +39,26 @@ def test_verdicts_adapt(documents):
     assert [r["base_failed"] for r in got[460:]] == [True, True]
 
 
+def test_repeats_alone_reject(documents):
+    """A fifth of a text's words repeated is below the base rule; a header that stands twice is not judged."""
+    deal = random.Random(6)
+    word = lambda: "".join(deal.choice("abcdefgh") for _ in range(deal.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(400)) for _ in range(120)]
+    passage = " ".join(word() for _ in range(45))
+    header = " ".join(word() for _ in range(12))
+    texts += [f"{passage} {texts[0]} {passage}", f"{header} {texts[1]} {header}"]
+    got = q.judge(documents(texts)).orderBy("doc_id").collect()
+    assert all(r["kept"] for r in got[:120])
+    assert not got[120]["base_failed"] and not got[120]["kept"] and got[121]["kept"]
+
+
+def test_small_groups_are_drawn_to_their_language(documents):
+    """Fences move with the number of documents, without a step."""
+    sketch = q.sketches(q.text_counts(documents(["# a " * 30] * 3 + ["b c " * 30] * 300, ["odd"] * 3 + ["usual"] * 300)).withColumns({"lang_key": q.null_key("lang"), "source_key": q.null_key("source")}))
+    got = {r["source_key"]: r["symbols_high"] for r in q.thresholds(sketch).collect()}
+    assert 50 < got["=odd"] < 1050 and got["=usual"] < got["=odd"]
+
+
 def test_edges(documents):
     assert q.judge(documents([])).count() == 0
     got = q.judge(documents([None, "", "a " * 30, "a " * 30], [None] * 4, [None, "en", None, "en"], ids=[1, 1, None, None])).collect()
