@@ -26,7 +26,8 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"[A-Za-z0-9._~%+-]+:[^\s/@:]+@[A-Za-z0-9.-]*[A-Za-z0-9]")
-IBAN = re.compile(r"(?:[A-Za-z]*)[\x20:#=]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+LETTERS = re.compile(r"[A-Za-z]*")
+IBAN = re.compile(r"[\x20:#=]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 #: An IBAN that no word announces: its country says how long it is.
 IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
 IBAN_LENGTHS = {
@@ -56,6 +57,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def at_most_255(digits: str) -> bool:
+    """Of any number of digits."""
+    plain = digits.lstrip("0")
+    return len(plain) <= 3 and int(plain or 0) <= 255
+
+
 def iban_valid(candidate: str) -> bool:
     plain = candidate.replace(" ", "")
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
@@ -75,7 +82,8 @@ def spans(text: str, cues: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     do use up their characters.
     """
     found: list[tuple[int, int, int]] = []
-    email_end = ip_end = card_end = phone_end = 0
+    ibans: set[tuple[int, int]] = set()
+    email_end = ip_end = card_end = phone_end = word_end = 0
     for last, cue in cues.iter(text.translate(LOWER)):
         at = last + 1 - len(cue)
         if cue in DIGITS:
@@ -86,11 +94,11 @@ def spans(text: str, cues: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
                     found.append((at, 2, card_end))
             if at >= 2 and text[at - 2 : at] in IBAN_LENGTHS and IBAN_START.match(text, at - 2):
                 m = IBAN_BODIES[IBAN_LENGTHS[text[at - 2 : at]]].match(text, at - 2)
-                if m and iban_valid(m.group()) and (m.start(), 5, m.end()) not in found:
-                    found.append((m.start(), 5, m.end()))
+                if m and iban_valid(m.group()):
+                    ibans.add(m.span())
             if at >= ip_end and (at == ip_end or text[at - 1] not in DIGITS) and (m := IP.match(text, at)):
                 ip_end = m.end()
-                if all(int(part) <= 255 for part in m.group().split(".")):
+                if all(at_most_255(part) for part in m.group().split(".")):
                     found.append((at, 1, ip_end))
         elif cue == "@":
             start = at
@@ -110,9 +118,13 @@ def spans(text: str, cues: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
         elif cue in ("ssn", "social security"):
             if (m := SSN.match(text, last + 1 + (text[last + 1 : last + 2] == " "))) and ssn_valid(m.group(1)):
                 found.append((m.start(1), 6, m.end(1)))
-        elif (m := IBAN.match(text, last + 1)) and iban_valid(m.group(1)):
-            found.append((m.start(1), 5, m.end(1)))
-    return sorted(found)
+        elif last >= word_end:  # another "iban" in the same word announces nothing else
+            word_end = LETTERS.match(text, last + 1).end()
+            for begin in (word_end - 2, word_end):  # "IBANDE89..." too
+                if begin > last and (m := IBAN.match(text, begin)) and iban_valid(m.group(1)):
+                    ibans.add(m.span(1))
+                    break
+    return sorted([*found, *((s, 5, e) for s, e in ibans)])
 
 
 def digest(found: list[tuple[int, int, int]]) -> str:
