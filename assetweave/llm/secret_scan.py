@@ -6,6 +6,8 @@ import hashlib
 import math
 import random
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterable
 
 import numpy as np
@@ -31,6 +33,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: What the models judge: long strings of one run.
 LEAST = 20
+LONG = 4096
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 DIGITS, MARKS = "0123456789", "+/_=-"
 
@@ -96,28 +99,33 @@ def identifiers(n: int = 3000, seed: int = 3) -> list[str]:
 
 
 def plain_samples(docs: DataFrame, bound: int = 2000, words: int = 40) -> list[str]:
-    """Labelled samples of ordinary identifiers: words of a bounded sample of ``bound`` documents.
+    """Labelled samples of ordinary identifiers: words of a bounded sample of documents.
 
-    The sample is dealt by hash (about ``bound`` documents); neighbouring words are joined as identifiers are
+    The sample is dealt by hash: about ``bound`` different documents and about ``words`` runs of three
+    words of each, from anywhere in its text. Neighbouring words are joined as identifiers are
     (snake_case, kebab-case, camelCase, paths), some with a number, so that word boundaries and
-    versions look ordinary too. Strings that a fixed pattern finds are no identifiers.
+    versions look ordinary too. What a fixed pattern of secrets finds is cut out first.
     """
-    found = F.slice(F.filter(F.split(text_or_empty(), r"[^A-Za-z]+"), lambda w: w != ""), 1, words)
-    rows = sample_of(docs, ["doc_id", "text"], bound).select("doc_id", found.alias("w")).collect()
-    rows = sorted(rows, key=lambda r: (str(r["doc_id"]), r["w"]))[: 2 * bound]
+    text = F.regexp_replace(text_or_empty(), f"{ASSIGN.pattern}|{ACCESS.pattern}|{HEX.pattern}", " ")
+    found = F.filter(F.split(text, r"[^A-Za-z]+"), lambda w: w != "")
+    part = sample_of(docs.select("doc_id", "text"), ["doc_id", "text"], bound).dropDuplicates().select("doc_id", found.alias("w"))
+    runs = F.filter(
+        F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(i.alias("i"), F.slice("w", i + 1, 3).alias("w"))),
+        lambda r: F.pmod(F.xxhash64("doc_id", r["i"]), F.size("w")) < words,
+    )
+    rows = part.select("doc_id", F.when(F.size("w") > 2, runs).alias("runs")).filter("runs IS NOT NULL").collect()
     out: list[str] = []
-    for k, row in enumerate(rows):
-        found = row["w"]
-        for i in range(0, len(found) - 2, 3):
-            a, b, c = found[i : i + 3]
+    for row in sorted(rows, key=lambda r: (str(r["doc_id"]), r["runs"])):
+        k = zlib.crc32(str(row["doc_id"]).encode())
+        for i, (a, b, c) in row["runs"]:
             joined = (f"{a}_{b}_{c}", f"{a}-{b}-{c}", a.lower() + b.capitalize() + c.capitalize(), f"{a}/{b}/{c}", (a + "_" + b).upper(), a + b + c)
             out.append(joined[(k + i) % len(joined)] + (str((k + i) % 2030) if i % 4 == 0 else ""))
     return out + identifiers()
 
 
-def train(docs: DataFrame, *, bound: int = 2000) -> list[list[float]]:
+def train(docs: DataFrame, *, bound: int = 2000, words: int = 40) -> list[list[float]]:
     """The ratio table of both models, trained from labelled samples; its size is fixed (68 x 67)."""
-    plain = plain_samples(docs, bound)
+    plain = plain_samples(docs, bound, words)
     return log_ratio(markov(random_samples(max(2000, len(plain)))), markov(plain))
 
 
@@ -130,11 +138,18 @@ def spans(text: str, ratio: list[list[float]], threshold: float = THRESHOLD) ->
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted((s, e) for s, _, e in found)
+    begins, ends = [], []  # of base spans, joined where they overlap
+    for s, _, e in sorted(found):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            begins.append(s)
+            ends.append(e)
     for m in CANDIDATE.finditer(text):
         s = m.start()
         for i, j in random_parts(m.group(), ratio, threshold):
-            if not any(a < s + j and s + i < b for a, b in base):
+            k = bisect_right(ends, s + i)
+            if k == len(ends) or begins[k] >= s + j:
                 found.append((s + i, 3, s + j))
     return sorted(found)
 
@@ -184,15 +199,15 @@ def digest(found: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in found)
 
 
-def scan(docs: DataFrame, *, bound: int = 2000, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, *, bound: int = 2000, words: int = 40, threshold: float = THRESHOLD) -> DataFrame:
     """Secrets of every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov.
 
     Base kinds are the fixed patterns; the Markov models add spans of kind ``markov``. Places are
     code points, end exclusive. Null and empty texts have no spans (base_sha256 is that of the empty
     string); repeated rows give repeated results; an empty table gives no rows and trains on a
-    built-in sample.
+    built-in sample. The models learn from about ``bound`` documents, ``words`` samples of each.
     """
-    ratio = train(docs, bound=bound)
+    ratio = train(docs, bound=bound, words=words)
 
     def make():
         def each(texts: list[str]) -> list[tuple]:
