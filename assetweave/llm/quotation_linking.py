@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, text_or_empty
+from .common import durable, null_key, text_or_empty
 
 #: Turns that are searched, or numbered, together.
 BLOCK = 256
@@ -53,7 +53,7 @@ def passages(messages: DataFrame) -> DataFrame:
         return F.when(r["level"] == 0, F.array_join(kept, "\n"))
 
     parts = F.array_join(F.filter(F.transform("aw_runs", own), lambda x: x.isNotNull()), "\n")
-    reply = F.regexp_replace(F.coalesce(parts, F.replace(text_or_empty(), F.lit("\r\n"), F.lit("\n"))), r"^\s+|\s+$", "")
+    reply = F.btrim(F.coalesce(parts, F.replace(text_or_empty(), F.lit("\r\n"), F.lit("\n"))), F.lit(" \t\n\x0b\f\r"))
     quoted = F.filter("aw_runs", lambda r: r["level"] > 0)
     whole = F.transform(quoted, lambda r: F.struct(r["level"].alias("level"), normal(F.array_join(r["bodies"], "\n")).alias("key")))
     single = F.flatten(F.transform(F.filter(quoted, lambda r: F.size(r["bodies"]) > 1), lambda r: F.transform(r["bodies"], lambda b: F.struct(r["level"].alias("level"), normal(b).alias("key")))))
@@ -123,7 +123,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     left out. An empty table gives no rows.
     """
     place = F.coalesce(F.col("turn").cast("long"), F.lit(NO_TURN))
-    base = messages.select("conv_id", "turn", "role", "text", F.coalesce(F.col("conv_id").cast("string"), F.lit("~")).alias("conv_key"), place.alias("place"))
+    base = messages.select("conv_id", "turn", "role", "text", null_key("conv_id").alias("conv_key"), place.alias("place"))
     parsed = passages(base).drop("text")
     quotes = durable(parsed.select("conv_key", "place", F.explode("quotes").alias("q")).select("conv_key", "place", "q.level", "q.key").distinct())
     # Only conversations in which something is quoted are searched for originals.
