@@ -172,18 +172,20 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = TRAIN_ROWS, seed: int = 5) -> Machine:
     """Fit on a bounded sample of labelled rows that aren't held out: about ``rows``, dealt by hash.
 
-    Null labels and ids teach nothing; of contradicting labels of an id the lower counts; of
-    repeated documents each teaches. Without labels the model is neutral (0.5 for every text).
+    Null labels and ids teach nothing; of contradicting labels of an id the lower counts; repeated
+    rows teach once, and where ids have many different rows, about 2 * ``rows`` of those are dealt
+    by hash too. Without labels the model is neutral (0.5 for every text).
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("aw_label"))
     chosen = sample_of(known, ["doc_id"], rows)
-    taught = docs.join(F.broadcast(chosen), "doc_id")  # about ``rows`` rows of two numbers
+    taught = docs.select("doc_id", "text", *METADATA).join(F.broadcast(chosen), "doc_id")  # about ``rows`` rows of two numbers
+    taught = sample_of(taught, ["doc_id", "text"], 2 * rows).dropDuplicates()
 
     def make():
         return lambda texts, *meta: [features(t, m) for t, m in zip(texts, zip(*meta, strict=True), strict=True)]
 
     told = map_texts(taught, ["doc_id", "aw_label"], [("aw_at", "array<int>"), ("aw_value", "array<double>")], make, extra=METADATA)
-    got = sorted(told.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["aw_at"]))[: 2 * rows]
+    got = sorted(told.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["aw_at"]))
     return fit([(r["aw_at"], r["aw_value"]) for r in got], [int(r["aw_label"] > 0) for r in got], seed=seed)
 
 
