@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -63,13 +63,19 @@ def lexical(query: Sequence[str] | Column, words: Column) -> Column:
     return F.when(n > 0, F.size(F.filter(query, met)) / n).otherwise(F.lit(0.0)).cast("float")
 
 
-def z_score(score: Column, partition: Sequence[str]) -> Column:
-    """Standard score among a partition's rows, shrunk by n / (n + 10): small populations say little.
-    Zero for fewer than two rows or no spread. The deviation is that of the population."""
-    w = Window.partitionBy(*partition)
-    x = score.cast("double")
-    n, mean, sd = F.count(x).over(w), F.avg(x).over(w), F.stddev_pop(x).over(w)
-    return F.when((n < 2) | (sd < FLAT), F.lit(0.0)).otherwise((x - mean) / sd * (n / (n + SHRINK))).cast("float")
+def with_z(pool: DataFrame, score: str, keys: Sequence[str]) -> DataFrame:
+    """Add z: the standard score among the rows of equal keys, shrunk by n / (n + 10), as small
+    populations say little. Zero for fewer than two rows or no spread. The deviation is that of the
+    population.
+
+    The statistics are aggregated where the rows lie and come back as one row for each of the keys,
+    of which a search has as many as kinds, so they are broadcast and no row of the pool moves.
+    """
+    x = F.col(score).cast("double")
+    told = pool.groupBy(*keys).agg(F.count(x).alias("aw_n"), F.avg(x).alias("aw_mean"), F.stddev_pop(x).alias("aw_sd"))
+    n, mean, sd = F.col("aw_n"), F.col("aw_mean"), F.col("aw_sd")
+    z = F.when((n < 2) | (sd < FLAT), F.lit(0.0)).otherwise((x - mean) / sd * (n / (n + SHRINK))).cast("float")
+    return pool.join(F.broadcast(told), list(keys)).withColumn("z", z).drop("aw_n", "aw_mean", "aw_sd")
 
 
 def single_score(semantic: Column, lexical_: Column) -> Column:

@@ -7,6 +7,7 @@ scores and statistics; the metadata join comes after the limit.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from . import ranking
 
 #: Vectors longer than this are scored in Arrow batches rather than by expressions.
 LONG = 256
+#: Queries that are scored together.
+QUERIES = 2048
 
 
 def candidates(assets: DataFrame, embeddings: DataFrame, space_id: str, kinds: Sequence[str]) -> DataFrame:
@@ -94,17 +97,19 @@ def search_across_kinds(assets: DataFrame, embeddings: DataFrame, query: str, so
     """Fused ranking. ``sources`` are (kind, space, query vector); kinds of one space and vector share a scan.
 
     Semantic scores are standardised within each kind over all its candidates, so scores of
-    different models are never compared; then kinds are ranked together.
+    different models are never compared; then kinds are ranked together. Vectors of another length
+    than the query's are an error or left out, as in a search of one kind.
     """
     wanted = ranking.intent_kind(query)
     groups: dict[tuple, list[str]] = {}
     for kind, space_id, vector in sources:
         groups.setdefault((space_id, tuple(vector)), []).append(kind)
-    parts = [score_kind(candidates(assets, embeddings, space_id, kinds), query, vector) for (space_id, vector), kinds in groups.items()]
+    found = [(_check(candidates(assets, embeddings, space_id, kinds), embeddings, space_id, vector), vector) for (space_id, vector), kinds in groups.items()]
+    parts = [score_kind(part, query, vector) for part, vector in found]
     pool = parts[0]
     for part in parts[1:]:
         pool = pool.unionByName(part)
-    pool = pool.withColumn("z", ranking.z_score(F.col("semantic"), ["kind"]))
+    pool = ranking.with_z(pool, "semantic", ["kind"])
     intent = (F.col("kind") == wanted).cast("int") if wanted else F.lit(0)
     pool = pool.withColumn("intent", intent).withColumn("score", ranking.fused_score(F.col("z"), F.col("lexical"), F.col("intent")))
     return ranked(top(pool, limit, within))
@@ -131,21 +136,30 @@ def evidence(hits: DataFrame, channel: Column | str) -> DataFrame:
 def batch_top_k(queries: DataFrame, vectors_: DataFrame, k: int) -> DataFrame:
     """The k best of ``vectors_`` (id, vector) for each row of ``queries`` (query_id, query_vector).
 
-    A stated query set against all rows, in blocks: the query vectors go as one array to every batch
-    of rows, each task keeps its k best a query, and a window finishes. Callers bound the set.
+    A stated query set against all rows, in blocks of QUERIES: the query vectors of a block go as one
+    array to every batch of rows, each task keeps its k best a query, and a window finishes. A task
+    holds one block, however many queries there are; each block is one pass over the rows.
     """
-    rows = queries.orderBy("query_id").collect()
-    if not rows:
-        return vectors_.select(F.lit(0).cast("long").alias("query_id"), F.col("id"), F.lit(0.0).cast("float").alias("score"), F.lit(0).alias("rank")).limit(0)
+    asked = queries.select("query_id", "query_vector")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    parts = [_block_top_k(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), vectors_, k) for b in range(blocks)]
+    best = reduce(DataFrame.unionByName, parts)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _block_top_k(queries: DataFrame, vectors_: DataFrame, k: int) -> DataFrame:
+    """query_id, id and score: at least the k best of each query of a block."""
     import numpy as np
     import pandas as pd
 
-    ids = np.array([r["query_id"] for r in rows])
+    rows = queries.orderBy("query_id").collect()
+    ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
     matrix = np.array([r["query_vector"] for r in rows], dtype=np.float64)
 
     def block(batches):
         for batch in batches:
-            if not len(batch):
+            if not len(batch) or not len(ids):
                 continue
             scores = (np.vstack(batch["vector"].to_numpy()).astype(np.float64) @ matrix.T).astype(np.float32)
             most = min(k, len(batch))
@@ -154,6 +168,4 @@ def batch_top_k(queries: DataFrame, vectors_: DataFrame, k: int) -> DataFrame:
                 order = np.lexsort((own, -scores[:, q]))[:most]
                 yield pd.DataFrame({"query_id": ids[q], "id": own[order], "score": scores[order, q]})
 
-    best = vectors_.select("id", "vector").mapInPandas(block, "query_id long, id long, score float")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return vectors_.select("id", "vector").mapInPandas(block, "query_id long, id long, score float")

@@ -41,7 +41,7 @@ def test_lexical_score(spark):
 def test_z_scores(spark):
     def z(values):
         df = spark.createDataFrame([(i, float(v), "k") for i, v in enumerate(values)], "i int, x float, kind string")
-        return [r["z"] for r in df.select("i", ranking.z_score(F.col("x"), ["kind"]).alias("z")).orderBy("i").collect()]
+        return [r["z"] for r in ranking.with_z(df, "x", ["kind"]).orderBy("i").collect()]
 
     assert z([0.3]) == [0]
     assert z([0.2, 0.2, 0.2]) == [0, 0, 0]

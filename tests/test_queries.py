@@ -62,6 +62,31 @@ def test_vectors_of_another_length(spark):
     assert ask(made([("z", [1.0])]), [1.0, 0.0]) == []
 
 
+def test_fused_search_with_vectors_of_another_length(spark):
+    from assetweave.errors import AssetError
+
+    assets = spark.createDataFrame([(p, "image", p, "indexed", [p]) for p in "abc"], "path string, kind string, content_hash string, state string, path_tokens array<string>")
+    rows = [("a", [1.0, 0.0]), ("b", [1.0]), ("c", [0.5, 0.5])]
+    mixed = spark.createDataFrame([(h, "s", len(v), v) for h, v in rows], "content_hash string, space_id string, dims int, vector array<float>")
+    ask = lambda v: search.search_across_kinds(assets, mixed, "x", [("image", "s", v)])
+    assert [r["path"] for r in ask([1.0, 0.0]).orderBy("rank").collect()] == ["a", "c"]
+    assert "Window" not in ask([1.0, 0.0]).drop("rank")._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(AssetError) as error:
+        ask([1.0])
+    assert error.value.code == "INDEX_INCOMPATIBLE"
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    """More queries than one block give the same hits."""
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)]
+    v = spark.createDataFrame(rows, "id long, vector array<float>")
+    q = v.filter("id % 3 = 0").selectExpr("id AS query_id", "vector AS query_vector")
+    told = lambda: sorted(map(tuple, search.batch_top_k(q, v, 3).collect()))
+    want = told()
+    monkeypatch.setattr(search, "QUERIES", 4)
+    assert told() == want and len(want) == 42
+
+
 def test_entry_has_the_engine():
     assert set(engine.queries()) <= set(entry.queries())
     assert set(engine.oracle_sql()) <= set(entry.oracle_sql())
