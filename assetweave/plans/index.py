@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import AssetError
 from ..functions import paths
 from ..functions.models import ModelSpec
 from ..functions.providers import embed_grouped, provider_for
@@ -116,18 +117,26 @@ def process_files(work: DataFrame, registry: Registry, models: dict[str, ModelSp
         except Exception as e:  # noqa: BLE001  any failure stays with its file
             return r | {"error": f"Processing failed: {e}"}
 
+    def unavailable(e: Exception) -> bool:
+        """A model that can't be loaded is no fault of a file: the run ends."""
+        return isinstance(e, AssetError) and e.code == "MODEL_UNAVAILABLE"
+
     def embed(rows: list[dict], ready) -> None:
         for channel, provider in ready.items():
             asked = [r for r in rows if r["outcome"] == "indexed" and channel in r["inputs"]]
             distinct = {r["content_hash"]: r for r in asked}  # equal contents are embedded once
             try:
                 made = dict(zip(distinct, embed_grouped(provider, [r["inputs"][channel] for r in distinct.values()]), strict=True)) if distinct else {}
-            except Exception:  # noqa: BLE001  find out which file it was
+            except Exception as e:  # noqa: BLE001  find out which file it was
+                if unavailable(e):
+                    raise
                 made = {}
                 for h, r in distinct.items():
                     try:
                         made[h] = embed_grouped(provider, [r["inputs"][channel]])[0]
                     except Exception as e:  # noqa: BLE001
+                        if unavailable(e):
+                            raise
                         made[h] = e
             for r in asked:
                 v = made[r["content_hash"]]

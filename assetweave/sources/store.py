@@ -10,6 +10,7 @@ import json
 import os
 import shutil
 import socket
+import threading
 import time
 import uuid
 from collections.abc import Iterable
@@ -54,10 +55,12 @@ def replace_file(path: Path, data: bytes) -> None:
 
 
 class Store:
-    """Tables under one folder. Snapshots may lie in any store that Spark writes; the manifest and
-    the lock are small files beside them."""
+    """Tables under one folder of a file system that the driver and all executors share; the manifest
+    and the lock are small files beside the snapshots. Addresses of other stores are refused."""
 
     def __init__(self, spark: SparkSession, root: str | Path):
+        if "://" in str(root):
+            raise AssetError("USAGE_ERROR", f"The index must lie in a shared folder, not at {root}")
         self.spark, self.root = spark, Path(root)
 
     @property
@@ -171,8 +174,8 @@ class Store:
 
 
 class WriterLock:
-    """One writer at a time. A lock left by a dead process of this host is taken over; one from
-    another host is respected."""
+    """One writer at a time. A lock left by a dead process of this host, or one that says nothing, is
+    taken over; one from another host is respected. A lock appears with its owner already in it."""
 
     def __init__(self, root: str | Path):
         self.file = Path(root) / "writer.lock"
@@ -180,15 +183,19 @@ class WriterLock:
     def __enter__(self) -> WriterLock:
         self.file.parent.mkdir(parents=True, exist_ok=True)
         mine = json.dumps({"pid": os.getpid(), "host": socket.gethostname(), "since": time.time()})
-        for _ in range(2):
-            try:
-                with open(self.file, "x") as f:
-                    f.write(mine)
-                return self
-            except FileExistsError:
-                if not self._abandoned():
-                    break
-                self.file.unlink(missing_ok=True)
+        draft = self.file.with_name(f"{self.file.name}.{socket.gethostname()}.{os.getpid()}.{threading.get_ident()}")
+        draft.write_text(mine)
+        try:
+            for _ in range(2):
+                try:
+                    os.link(draft, self.file)
+                    return self
+                except FileExistsError:
+                    if not self._abandoned():
+                        break
+                    self.file.unlink(missing_ok=True)
+        finally:
+            draft.unlink(missing_ok=True)
         raise AssetError("INDEX_BUSY", "Another process is writing to this index")
 
     def __exit__(self, *_: object) -> None:
@@ -197,8 +204,12 @@ class WriterLock:
     def _abandoned(self) -> bool:
         try:
             owner = json.loads(self.file.read_text())
-        except (OSError, ValueError):
+        except OSError:
             return False
+        except ValueError:
+            return True
+        if not isinstance(owner, dict) or "pid" not in owner:
+            return True
         if owner.get("host") != socket.gethostname():
             return False
         try:

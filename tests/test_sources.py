@@ -172,3 +172,20 @@ def test_contact_sheet():
     assert images.decode(png).pixels.shape[:2] == (told["height"], told["width"])
     assert contact_sheet.truncate_middle("abcdefgh", 5) == "ab…gh"
     assert contact_sheet.size_of(7, 10_000, None) == (512, 3, 3)
+
+
+def test_a_lock_that_says_nothing_is_taken_over(tmp_path):
+    from assetweave.errors import AssetError
+    from assetweave.sources.store import Store, WriterLock
+
+    for left in ("", "{", "[]", '{"pid": 999999999, "host": "' + __import__("socket").gethostname() + '"}'):
+        (tmp_path / "writer.lock").write_text(left)
+        with WriterLock(tmp_path):
+            with pytest.raises(AssetError):
+                WriterLock(tmp_path).__enter__()
+        assert not list(tmp_path.iterdir())
+    (tmp_path / "writer.lock").write_text('{"pid": 1, "host": "elsewhere"}')
+    with pytest.raises(AssetError):
+        WriterLock(tmp_path).__enter__()
+    with pytest.raises(AssetError):
+        Store(None, "hdfs://host/x")
