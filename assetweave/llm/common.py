@@ -10,6 +10,7 @@ import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -59,13 +60,38 @@ def sample_of(df: DataFrame, by: Sequence[str], bound: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit("sample"), *by), F.lit(1 << 30)) < below)
 
 
-def map_texts(docs: DataFrame, carry: Sequence[str], fields: Sequence[tuple[str, str]], make: Callable[[], Callable[..., list]], *, several: bool = False, extra: Sequence[str] = ()) -> DataFrame:
+_caches: dict[str, dict] = {}
+
+
+def cache_of(name: str) -> dict:
+    """What a worker process keeps between tasks under ``name``. Asking for another name drops it, so
+    that a process, which outlives many stages, never holds the caches of two operators."""
+    if name not in _caches:
+        _caches.clear()
+        pa.default_memory_pool().release_unused()
+        _caches[name] = {}
+    return _caches[name]
+
+
+def stretches(texts: pa.Array, rows: int = 256, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of at most ``rows`` texts and, but for single texts, ``size`` bytes."""
+    begin = held = 0
+    for i, many in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > begin and (i - begin >= rows or held + (many or 0) > size):
+            yield begin, i
+            begin, held = i, 0
+        held += many or 0
+    if len(texts) > begin:
+        yield begin, len(texts)
+
+
+def map_texts(docs: DataFrame, carry: Sequence[str], fields: Sequence[tuple[str, str]], make: Callable[[], Callable[..., list]], *, several: bool = False, extra: Sequence[str] = (), cache: str = "") -> DataFrame:
     """Apply a Python function to whole texts, in Arrow batches, and carry columns along unchanged.
 
     ``make()`` runs once a task and returns a function from a list of texts (null is "") to a list
     of tuples, one value for each of ``fields`` (name, SQL type); with ``several``, to a list of
     lists of such tuples, one output row each. Lists of the ``extra`` columns' values follow the
-    texts. ``carry`` must not hold a name of ``fields``.
+    texts. ``carry`` must not hold a name of ``fields``. ``cache`` names the cache that ``make`` uses.
     """
     carried = docs.select(*[F.col(f"`{c}`") for c in carry]).schema.fields
     # Names of its own, so that no carried name clashes on the way in.
@@ -75,10 +101,11 @@ def map_texts(docs: DataFrame, carry: Sequence[str], fields: Sequence[tuple[str,
     n = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of(cache)
         apply = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at, end in stretches(batch.column(n)):
+                part = batch.slice(at, end - at)
                 made = apply(*(part.column(i).to_pylist() for i in range(n, part.num_columns)))
                 columns = [part.column(i) for i in range(n)]
                 if several:

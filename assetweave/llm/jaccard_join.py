@@ -9,10 +9,15 @@ prefix shingle hold every candidate. Two kinds of work are skipped:
   a list (the pivot) is compared with the others first, and those that link take over its
   component; the answers of the rest of its group are derived from differences to it; only pairs
   of different components in a list that no such group has settled are then compared one by one.
+
+A group or list that is too large for a task is cut into tiles: one copy of each member for every
+tile of those outside the pivot's component, so that near copies cost a copy each however many
+they are, and only sets that share shingles without linking are compared tile by tile.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,42 +28,47 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, text_or_empty
+from .common import cache_of, durable, map_texts, stretches, text_or_empty
 from .components import components
 
 #: The sketch has 2 ** SKETCH_BITS counts, and moves in blocks.
 SKETCH_BITS = 20
 BLOCKS = 16
-#: Entries of a list that one task compares with one another; longer lists are cut into tiles.
-TILE = 4096
+#: Sets, and shingles of sets, that one task holds as a tile; larger groups are cut into tiles.
+TILE = 1024
+TILE_SHINGLES = 1 << 19
+#: Entries of one shingle that are sorted together; by the sketch's count, longer lists are salted.
+LIST = 20_000
 #: Entries that a list skips at once.
 SKIP = 64
-#: Tasks among which the comparisons of one set are dealt.
-SALTS = 32
+#: Tasks among which the members of one group are dealt where they meet what is known of the group.
+SALTS = 16
 #: Bits of the filter that tells which texts are needed again; passing it wrongly does no harm.
 FILTER_BITS = 23
 
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: A random number for each byte; A-Z have those of a-z.
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, dtype=np.uint64)
 _BYTES[65:91] = _BYTES[97:123]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-#: Bytes of texts that are hashed together.
-_CHUNK = 1 << 20
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of texts that are hashed together; longer texts are hashed in stretches of about so many.
+_CHUNK = 1 << 18
 
 
-def _step_powers(n: int) -> list[np.ndarray]:
+def _step_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2 ** 64, and of its inverse."""
-    if len(_powers[0]) < n:
-        step = int(_MIX[0])
-        for i, factor in enumerate((step, pow(step, -1, 1 << 64))):
-            row = np.full(n + n // 4, factor, dtype=np.uint64)
-            row[0] = 1
-            _powers[i] = np.cumprod(row)
-    return _powers
+    step, out = int(_MIX[0]), []
+    for factor in (step, pow(step, -1, 1 << 64)):
+        row = np.full(n, factor, dtype=np.uint64)
+        row[0] = 1
+        out.append(np.cumprod(row))
+    return out[0], out[1]
+
+
+_POWERS = _step_powers(2 * _CHUNK)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -76,18 +86,30 @@ def _word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join([*raw, b""]), dtype=np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data])).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]  # the data end in a space
-    up, down = _step_powers(len(data) + 1)
+    up, down = _POWERS if len(data) < len(_POWERS[0]) else _step_powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
     begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
     return _mixed((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, begins)
 
 
+def _stretches(text: bytes) -> list[bytes]:
+    """A long text cut between words; only a single word can make a stretch longer than _CHUNK or so."""
+    out, at = [], 0
+    while len(text) - at > _CHUNK:
+        cut = _GAP.search(text, at + _CHUNK)
+        if not cut:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.end()
+    return [*out, text[at:]]
+
+
 def shingles_of(texts: list[str], words: int) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 64-bit hashes.
 
     Words are runs without ASCII white space, with A-Z lower-cased. A text of fewer words is one
-    shingle; one without words has none.
+    shingle; one without words has none. Long texts are hashed stretch by stretch.
     """
     out: list[np.ndarray] = []
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -96,7 +118,12 @@ def shingles_of(texts: list[str], words: int) -> list[np.ndarray]:
         while end < len(raw) and (end == len(out) or size + len(raw[end]) < _CHUNK):
             size += len(raw[end]) + 1
             end += 1
-        word, first = _word_hashes(raw[len(out) : end])
+        if size > 2 * _CHUNK:
+            parts = [_word_hashes([x])[0] for x in _stretches(raw[len(out)])]
+            word = np.concatenate(parts)
+            first = np.array([0, len(word)])
+        else:
+            word, first = _word_hashes(raw[len(out) : end])
         n = len(word) - words + 1
         whole = np.empty(0, np.uint64)
         if n > 0:
@@ -115,6 +142,19 @@ def shingles_of(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
+def _sets(packed: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The shingles of compressed texts, of which only a stretch is expanded at once."""
+    cache_of("")
+    expand, held, size = zstandard.ZstdDecompressor(), [], 0
+    for z in packed:
+        held.append(expand.decompress(z.as_py()).decode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= _CHUNK:
+            yield from shingles_of(held, words)
+            held, size = [], 0
+    yield from shingles_of(held, words)
+
+
 def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
@@ -138,10 +178,12 @@ def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
     per = size // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of("")
         counts = np.zeros(size, dtype=np.uint32)
         for batch in batches:
-            for found in shingles_of(batch.column(0).to_pylist(), words):
-                counts[_cell(found)] += 1  # cells that a text meets twice count once
+            for at, end in stretches(batch.column(0)):
+                for found in shingles_of(batch.column(0)[at:end].to_pylist(), words):
+                    counts[_cell(found)] += 1  # cells that a text meets twice count once
         blocks = [zlib.compress(counts[i * per : (i + 1) * per].tobytes(), 1) for i in range(BLOCKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
 
@@ -165,11 +207,10 @@ def _with_row(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", text_or_empty()).alias("row"))
 
 
-def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
     """doc_id, row, n, node and the prefix (its hashes as bytes) of each document, the last only
     where this task first meets the node: copies add at most one prefix a task. ``row`` is a hash
     of id and text."""
-    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, words))
 
     def make():
         counts, seen = sketch.value, set()
@@ -184,7 +225,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 node = node_of(found)
                 prefix = None
                 if node not in seen:
-                    if len(seen) >= 200_000:
+                    if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(node)
                     first = n + percent * n // -100 + 1  # n - ceil(percent n / 100) + 1
@@ -197,19 +238,33 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return map_texts(_with_row(docs), ["doc_id", "row"], [("n", "int"), ("node", "long"), ("prefix", "binary")], make)
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes, sizes, prefixes = (batch.column(i).to_pylist() for i in range(3))
-        lengths = [len(p) // 8 for p in prefixes]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.frombuffer(b"".join(prefixes), dtype=np.int64)),
-                pa.array(np.repeat(np.array(nodes, dtype=np.int64), lengths)),
-                pa.array(np.repeat(np.array(sizes, dtype=np.int32), lengths)),
-                pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]) if lengths else np.empty(0, np.int32)),
-            ],
-            names=["token", "node", "n", "pos"],
-        )
+_ENTRY = "token long, order int, node long, n int, pos int"
+
+
+def _entries(sketch, percent: int):
+    """(node, n, prefix) -> a row for each shingle of the prefix. A set can link with one of its own
+    size only where enough of it is left (else it is late). Where the sketch counts more than LIST
+    sets with a shingle, they are dealt to so many salts, from 1, that about LIST have one. ``order``
+    is twice the salt, and one more where late."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                prefixes = batch.column(2).to_pylist()
+                lengths = [len(p) // 8 for p in prefixes]
+                token = np.frombuffer(b"".join(prefixes), dtype=np.uint64)
+                node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
+                n = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32), lengths)
+                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+                salts = -(-counts[_cell(token)].astype(np.int64) // LIST)
+                salt = np.where(salts > 1, 1 + (_mixed(node.view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64), 0)
+                late = n - pos < _needed(n.astype(np.int64), n, percent)
+                columns = [token.view(np.int64), (2 * salt + late).astype(np.int32), node, n, pos]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "order", "node", "n", "pos"])
+
+    return run
 
 
 def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -217,96 +272,144 @@ def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _may_link(na, pa_, nb, pb, percent: int) -> np.ndarray:
-    """Whether sets that first meet at places pa_ and pb can still have enough in common."""
-    na, nb = np.asarray(na, dtype=np.int64), np.asarray(nb, dtype=np.int64)
-    return np.minimum(na - pa_, nb - pb) >= _needed(na, nb, percent)
+_LISTED = "token long, node long, n int, pos int, pivot long, star int"
+#: In place of star: the pivot is that of one salt only. Added to it: all of the list meet the pivot.
+SALTED, SETTLED = 2, 4
+#: Entries of a list that are held until its end is seen.
+HOLD = 4096
 
 
 def _shared_lists(percent: int):
-    """Entries sorted by (token, late, node) -> those of lists with two nodes or more, with the
-    list's first node (the pivot) and whether both may link here. One entry is held back at a time."""
+    """Entries sorted by (token, order, node) -> those of lists that can hold links, with the list's
+    first node (the pivot) and whether both may link here (star).
+
+    Lists of one node go, and those of two that can't link. Where all may link with the pivot, its
+    group settles the list. A list longer than HOLD is passed on as it comes, unsettled.
+    """
+
+    def listed(columns: list[np.ndarray], going: dict | None, whole: bool) -> tuple[pa.RecordBatch, dict | None]:
+        """The rows of lists, of which the first may go on from before and the last go on (not ``whole``)."""
+        token, order, node, n, pos = columns
+        salt = order >> 1
+        new = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
+        starts = np.flatnonzero(new)
+        first = np.repeat(starts, np.diff(np.r_[starts, len(new)]))
+        pivot, pivot_n, pivot_pos = node[first], n[first], pos[first]
+        on = going is not None and going["key"] == (token[0], salt[0])
+        if on:
+            for c, x in zip((pivot, pivot_n, pivot_pos), going["pivot"], strict=True):
+                c[first == 0] = x
+        star = (node == pivot) | (np.minimum(n - pos, pivot_n - pivot_pos) >= _needed(n, pivot_n, percent))
+        many, all_star = np.diff(np.r_[starts, len(new)]), np.logical_and.reduceat(star, starts)
+        long_ = np.zeros(len(starts), dtype=bool)
+        long_[0], long_[-1] = on, long_[-1] or not whole or (on and len(starts) == 1)
+        salted = salt[starts] > 0
+        settled = all_star & ~long_ & ~salted
+        keep = long_ | salted | (many > 2) | ((many == 2) & all_star)
+        code = np.where(np.repeat(salted, many), SALTED, star + SETTLED * np.repeat(settled, many))
+        rows = np.repeat(keep, many)
+        if on and node[0] == going["last"]:
+            rows[0] = False
+        made = [token, node, n.astype(np.int32), pos.astype(np.int32), pivot, code.astype(np.int32)]
+        state = {"key": (token[-1], salt[-1]), "pivot": (pivot[-1], pivot_n[-1], pivot_pos[-1]), "last": node[-1]}
+        return pa.RecordBatch.from_arrays([pa.array(c[rows]) for c in made], names=["token", "node", "n", "pos", "pivot", "star"]), state
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # last row: token, node, n, pos, pivot, pivot_n, pivot_pos, in a list already
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 5
+        going = None
         for batch in batches:
-            token, node, n, pos = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-            if not len(token):
+            columns = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
+            if not len(columns[0]):
                 continue
-            if held is not None:
-                token, node, n, pos = (np.r_[held[i], x] for i, x in enumerate((token, node, n, pos)))
-            fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-            token, node, n, pos = token[fresh], node[fresh], n[fresh], pos[fresh]
-            new = np.r_[True, token[1:] != token[:-1]]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
-            pivot, pivot_n, pivot_pos = node[first], n[first], pos[first]
-            joins = ~new
-            if held is not None:
-                same = first == 0
-                pivot[same], pivot_n[same], pivot_pos[same] = held[4:7]
-                joins[0] = held[7]
-            inside = joins | np.r_[~new[1:], False]
-            held = (token[-1], node[-1], n[-1], pos[-1], pivot[-1], pivot_n[-1], pivot_pos[-1], bool(joins[-1]))
-            inside[-1] = False  # held back
-            yield _list_rows(token, node, n, pos, pivot, pivot_n, pivot_pos, inside, percent)
-        if held is not None and held[7]:
-            rows = [np.array([x]) for x in held[:7]]
-            yield _list_rows(*rows, np.array([True]), percent)
+            token, order, node = columns[:3]
+            fresh = np.r_[True, (token[1:] != token[:-1]) | (order[1:] != order[:-1]) | (node[1:] != node[:-1])]
+            columns = [c[fresh] for c in columns]
+            token, salt = columns[0], columns[1] >> 1
+            last = int(np.flatnonzero((token == token[-1]) & (salt == salt[-1]))[0])
+            on = going is not None and last == 0 and going["key"] == (token[0], salt[0])
+            if on or len(token) - last > HOLD:
+                made, going = listed(columns, going, False)
+                held = [np.empty(0, np.int64)] * 5
+                yield made
+            else:
+                held = [c[last:] for c in columns]
+                if last:
+                    yield listed([c[:last] for c in columns], going, True)[0]
+                    going = None
+        if len(held[0]):
+            yield listed(held, going, True)[0]
 
     return run
 
 
-def _list_rows(token, node, n, pos, pivot, pivot_n, pivot_pos, inside, percent) -> pa.RecordBatch:
-    star = (node == pivot) | _may_link(n, pos, pivot_n, pivot_pos, percent)
-    columns = [token, node, n.astype(np.int32), pos.astype(np.int32), pivot, star]
-    return pa.RecordBatch.from_arrays([pa.array(c[inside]) for c in columns], names=["token", "node", "n", "pos", "pivot", "star"])
-
+def _lists(entries: DataFrame, percent: int) -> DataFrame:
+    """token, node, n, pos, pivot, star (whether node and pivot may link here) and settled (whether
+    all of the list may) of every list that can hold links.
 
-def list_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, star: np.ndarray, side: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of one list (or two tiles of it: ``side``) in different components, but for
-    those of two sets that were both compared with the pivot: its group has settled them.
-
-    Entries lie by size and then by place. A probe stops at the first entry too large for it, and
-    skips whole blocks in which even the most that remains after any entry's place is too little.
+    Salts of one shingle that is very common get one pivot, the first of theirs: it is found among
+    rows of the first of each salt and joined back by shingle and salt, so no task meets all sets
+    that have the shingle.
+    """
+    dealt = entries.repartition(F.col("token"), F.shiftright("order", 1)).sortWithinPartitions("token", "order", "node")
+    made = durable(dealt.mapInArrow(_shared_lists(percent), _LISTED))
+    needed = lambda n, m: F.ceil(percent * (F.col(n).cast("long") + F.col(m)) / F.lit(100 + percent))
+    salted = made.filter(F.col("star") == SALTED).drop("star").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    first = salted.groupBy("token", "salt").agg(F.min(F.struct((F.col("n") - F.col("pos") < needed("n", "n")).alias("late"), "node", "n", "pos")).alias("x"))
+    best = first.groupBy("token").agg(F.min("x").alias("top"))
+    best = first.join(best, "token").select("token", "salt", F.col("top.node").alias("pivot"), F.col("top.n").alias("pivot_n"), F.col("top.pos").alias("pivot_pos"))
+    one = salted.drop("pivot").join(best, ["token", "salt"])
+    star = (F.col("node") == F.col("pivot")) | (F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos")) >= needed("n", "pivot_n"))
+    one = durable(one.select("token", "node", "n", "pos", "pivot", star.alias("star"), F.lit(False).alias("settled")))
+    rest = made.filter(F.col("star") != SALTED).withColumn("settled", F.col("star") >= SETTLED).withColumn("star", F.col("star") % 2 == 1)
+    return rest.unionByName(one)
+
+
+def list_pairs(asked: list[np.ndarray], held: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of a set of ``asked`` and one of ``held`` (node, n, pos, comp, star, outside
+    each) of one list, in different components, but for those of two sets that were both compared
+    with the pivot: its group has settled them. Pairs of two sets outside the pivot's component,
+    which would come up twice, are told once.
+
+    Held entries lie by size and then by place. A probe begins and ends at the sizes that can link,
+    and skips whole blocks in which even the most that remains after any entry's place is too little.
     """
-    order = np.lexsort((pos, n))
-    node, n, pos, comp, star = node[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order], star[order]
-    side = None if side is None else side[order]
+    order = np.lexsort((held[2], held[1]))
+    node, n, pos, comp, star, outside = (x[order] for x in held)
+    n = n.astype(np.int64)
     rest = n - pos
     starts = np.arange(0, len(n), SKIP)
     most_rest, least_n = np.maximum.reduceat(rest, starts), n[starts]
-    if star.all():
-        return
-    for i in range(len(n) - 1):
-        end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
-        if end <= i + 1:
+    for node_i, n_i, pos_i, comp_i, star_i in zip(*(x.tolist() for x in asked[:5]), strict=True):
+        low, end = int(np.searchsorted(n, -(-percent * n_i // 100))), int(np.searchsorted(n, 100 * n_i // percent, side="right"))
+        if end <= low:
             continue
-        b0, b1 = (i + 1) // SKIP, (end - 1) // SKIP + 1
-        go = np.minimum(rest[i], most_rest[b0:b1]) >= _needed(n[i], np.maximum(least_n[b0:b1], n[i]), percent)
+        b0, b1, rest_i = low // SKIP, (end - 1) // SKIP + 1, n_i - pos_i
+        go = np.minimum(rest_i, most_rest[b0:b1]) >= _needed(n_i, least_n[b0:b1], percent)
         for b in np.flatnonzero(go) + b0:
-            s, e = max(i + 1, b * SKIP), min(end, (b + 1) * SKIP)
-            ok = (comp[s:e] != comp[i]) & ~(star[s:e] & star[i]) & (np.minimum(rest[i], rest[s:e]) >= _needed(n[i], n[s:e], percent))
-            if side is not None:
-                ok &= side[s:e] != side[i]
+            s, e = max(low, b * SKIP), min(end, (b + 1) * SKIP)
+            ok = (comp[s:e] != comp_i) & (np.minimum(rest_i, rest[s:e]) >= _needed(n_i, n[s:e], percent)) & ~(outside[s:e] & (node[s:e] < node_i))
+            if star_i:
+                ok &= ~star[s:e]
             if ok.any():
                 others = node[s:e][ok]
-                yield np.minimum(node[i], others), np.maximum(node[i], others)
+                yield np.minimum(node_i, others), np.maximum(node_i, others)
 
 
 def _cross_pairs(percent: int):
-    """Rows of (token, c1, c2, node, n, pos, comp, star, tile), sorted by the first three -> pairs."""
+    """Rows of (token, c1, c2, kind, node, n, pos, comp, star, outside), sorted by the first three -> pairs."""
 
     def flush(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate([p[i] for p in parts]) for i in range(9)]
-        side = columns[8] if columns[1][0] != columns[2][0] else None
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(10)]
+        asks = columns[3] == 0
         left, right, many = [], [], 0
-        for a, b in list_pairs(columns[3], columns[4], columns[5], columns[6], columns[7], side, percent):
-            left.append(a)
-            right.append(b)
-            many += len(a)
-            if many >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-                left, right, many = [], [], 0
+        if asks.any() and not asks.all():
+            for a, b in list_pairs([c[asks] for c in columns[4:]], [c[~asks] for c in columns[4:]], percent):
+                left.append(a)
+                right.append(b)
+                many += len(a)
+                if many >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                    left, right, many = [], [], 0
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
@@ -314,7 +417,7 @@ def _cross_pairs(percent: int):
         parts: list[list[np.ndarray]] = []
         key = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(10)]
             if not len(columns[0]):
                 continue
             changes = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])) + 1
@@ -331,6 +434,32 @@ def _cross_pairs(percent: int):
     return run
 
 
+def _with_group(members: DataFrame, key: str, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """Members (with ``node``) joined to what is known of their group, one row each in ``groups``;
+    the members of one group are dealt to SALTS tasks."""
+    known = groups.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(known, [key, "salt"], how).drop("salt")
+
+
+def _tiled(members: DataFrame, key: str, extra: list[str], tile_of: int) -> tuple[DataFrame, DataFrame]:
+    """Members (key, node, n, outside and ``extra``) of groups -> (key, c1, c2, kind, node, ...), and
+    the pairs of tiles (key, c1, c2).
+
+    Those outside (kind 0) are dealt to tiles c1, all members (kind 1) to tiles c2, and each pair of
+    tiles meets once: a group with few outside costs a copy of each member and few more.
+    """
+    of = lambda n, size: F.ceil(F.greatest(n / tile_of, size / TILE_SHINGLES)).cast("int")
+    out = F.when(F.col("outside"), F.col("n").cast("long"))
+    sizes = members.groupBy(key).agg(of(F.count(out), F.coalesce(F.sum(out), F.lit(0))).alias("t1"), of(F.count("*"), F.sum(F.col("n").cast("long"))).alias("t2")).filter("t1 > 0")
+    dealt = _with_group(members, key, sizes)
+    tile = lambda t: F.pmod(F.xxhash64("node", F.lit(1)), F.col(t)).cast("int")
+    every = lambda t: F.explode(F.sequence(F.lit(0), F.col(t) - 1))
+    columns = ["node", "n", *extra, "outside"]
+    asked = dealt.filter("outside").select(key, tile("t1").alias("c1"), every("t2").alias("c2"), F.lit(0).alias("kind"), *columns)
+    held = dealt.select(key, every("t1").alias("c1"), tile("t2").alias("c2"), F.lit(1).alias("kind"), *columns)
+    return asked.unionByName(held), sizes.select(key, every("t1").alias("c1"), "t2").select(key, "c1", every("t2").alias("c2"))
+
+
 def _texts(docs: DataFrame, prefixes: DataFrame, lists: DataFrame, words: int) -> DataFrame:
     """node and a compressed text of it, one row for each node of ``lists``.
 
@@ -378,23 +507,25 @@ def _texts(docs: DataFrame, prefixes: DataFrame, lists: DataFrame, words: int) -
     return durable(packed.join(chosen, "row").select("node", "z").dropDuplicates(["node"]))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b, distinct) that link, by their whole sets.
+def _dealt(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """a, part, parts, kind, node, z: the text of a (kind 0) before those of its b (kind 1), in
+    parts of about ``parts`` texts, so that a set with very many candidates is dealt to many tasks."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / parts, F.sum(F.col("n").cast("long")) / TILE_SHINGLES)).cast("int").alias("parts")).filter("parts > 1")
+    known = _with_group(pairs.select("a", F.col("b").alias("node")), "a", sizes, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    salted = known.select("a", F.col("node").alias("b"), "parts", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("part"))
+    probes = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "parts", F.lit(1).alias("kind"), F.col("b").alias("node"), "z")
+    heads = salted.select("a", "part", "parts").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", "parts", F.lit(0).alias("kind"), F.col("a").alias("node"), "z")
+    return heads.unionByName(probes).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
 
-    One text of a comes first in each (a, salt) group and the texts of b follow, so a task holds
-    two sets at a time, and a set with very many candidates is dealt to SALTS groups.
-    """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    probes = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), F.col("b").alias("node"), "z")
-    heads = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("node"), "z")
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, n of b; distinct) that link, by their whole sets, two held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
         head = np.empty(0, dtype=np.uint64)
         for batch in batches:
             left, right = [], []
-            texts = [expand.decompress(z).decode("utf-8", "surrogatepass") for z in batch.column(4).to_pylist()]
-            for a, kind, node, found in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), shingles_of(texts, words), strict=True):
+            for a, kind, node, found in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), _sets(batch.column(5), words), strict=True):
                 if kind == 0:
                     head = found
                 elif linked(len(np.intersect1d(head, found, assume_unique=True)), len(head), len(found), percent):
@@ -402,92 +533,144 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                     right.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    dealt = heads.unionByName(probes).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return dealt.mapInArrow(run, "a long, b long")
+    return _dealt(pairs, texts, TILE).mapInArrow(run, "a long, b long")
 
 
-def _star_links(stars: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect whatever links connect among a pivot and its candidates.
+def _links_of(nodes_a: list[int], nodes_b: list[int], found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([nodes_a[i] for i, _ in found], pa.int64()), pa.array([nodes_b[j] for _, j in found], pa.int64())], names=["a", "b"])
 
-    A pivot's group (its candidates, or two tiles of them) is one unit of work. Each member is
-    reduced to its difference from the pivot; the answers of members that link with the pivot follow
-    from the pivot's, and those of the others are derived from the differences: two sets differ by
-    what their differences don't share. So a large group of near copies costs one text a member
-    and tile, and gives a link a member, never a row a pair.
-    """
-    sizes = stars.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    dealt = stars.join(sizes, "a").withColumn("tile", F.pmod(F.xxhash64("b"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("a", F.least("tile", "other").alias("c1"), F.greatest("tile", "other").alias("c2"), "b")
-    members = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "c1", "c2", F.lit(1).alias("kind"), F.col("b").alias("node"), "z")
-    heads = dealt.select("a", "c1", "c2").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "c1", "c2", F.lit(0).alias("kind"), F.col("a").alias("node"), "z")
+
+def _star_links(stars: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of pivots a and their candidates b; of a group that one task holds also those
+    that connect whatever links connect among the candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
         nodes: list[int] = []
         sets: list[np.ndarray] = []
+        alone = False
 
         def flush() -> pa.RecordBatch:
-            found = group_links(sets, percent) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
+            return _links_of(nodes, nodes, group_links(sets, percent, alone) if len(sets) > 1 else [])
 
         for batch in batches:
-            texts = [expand.decompress(z).decode("utf-8", "surrogatepass") for z in batch.column(5).to_pylist()]
-            for kind, node, found in zip(*(batch.column(i).to_pylist() for i in (3, 4)), shingles_of(texts, words), strict=True):
+            for parts, kind, node, found in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), _sets(batch.column(5), words), strict=True):
                 if kind == 0:
                     yield flush()
-                    nodes, sets = [], []
+                    nodes, sets, alone = [], [], parts == 1
                 nodes.append(node)
                 sets.append(found)
         yield flush()
 
-    ordered = heads.unionByName(members).repartition("a", "c1", "c2").sortWithinPartitions("a", "c1", "c2", "kind")
-    return ordered.mapInArrow(run, "a long, b long")
+    return _dealt(stars, texts, TILE).mapInArrow(run, "a long, b long")
+
+
+def _tile_links(stars: DataFrame, comps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever links connect among the candidates of a pivot whose group
+    one task can't hold: its sets outside the pivot's component, tile by tile, against all."""
+    large = stars.groupBy("a").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("size")).filter((F.col("m") > TILE) | (F.col("size") > TILE_SHINGLES))
+    large = large.join(comps.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("comp", "a").alias("home_a"))
+    held = _with_group(stars.select("a", F.col("b").alias("node"), "n"), "a", large).join(comps, "node", "left")
+    held = held.select("a", "node", "n", F.coalesce("comp", "node").alias("home"), "home_a").withColumn("outside", F.col("home") != F.col("home_a"))
+    tiles, places = _tiled(durable(held), "a", ["home"], TILE)
+    tiles = tiles.select("a", "c1", "c2", (F.col("kind") + 1).alias("kind"), "node", "home")
+    heads = places.select("a", "c1", "c2", F.lit(0).alias("kind"), F.col("a").alias("node"), F.lit(0).cast("long").alias("home"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = np.empty(0, dtype=np.uint64)
+        held: tuple[list, list] = ([], [])
+
+        def flush() -> pa.RecordBatch:
+            (left, right) = held
+            found = derived_links(pivot, [x for *_, x in left], [x for *_, x in right], [h for _, h, _ in left], [h for _, h, _ in right], percent) if left and right else []
+            return _links_of([x[0] for x in left], [x[0] for x in right], found)
+
+        for batch in batches:
+            for kind, node, home, found in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), _sets(batch.column(6), words), strict=True):
+                if kind == 0:
+                    yield flush()
+                    pivot, held = found, ([], [])
+                else:
+                    held[kind - 1].append((node, home, found))
+        yield flush()
 
+    dealt = heads.unionByName(tiles).join(texts, "node").select("a", "c1", "c2", "kind", "node", "home", "z")
+    return dealt.repartition("a", "c1", "c2").sortWithinPartitions("a", "c1", "c2", "kind").mapInArrow(run, "a long, b long")
 
-def group_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Places (i, j) of links that connect all that links connect in a group; the first set is the pivot."""
+
+def _differences(pivot: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes; then what sets lack of the pivot (set, place in the pivot) and have besides (set, shingle)."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
+    hit = pivot[at] == flat
+    has = np.zeros((len(sets), len(pivot)), dtype=bool)
+    has[owner[hit], at[hit]] = True
+    return sizes, *np.nonzero(~has), owner[~hit], flat[~hit]
+
+
+def derived_links(pivot: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], left_home: list[int], right_home: list[int], percent: int) -> list[tuple[int, int]]:
+    """Places (i, j) of links between ``left`` and ``right`` sets that connect whatever links connect
+    among them, beyond what is connected already (equal homes).
+
+    Two sets differ by what their differences from the pivot don't share, so a left set's answers
+    follow from the lists of right sets by what those lack of the pivot or have besides. Memory is
+    in proportion to the sets: one left set is counted at a time.
+    """
+    ln, l_lacks, l_place, l_more, l_extra = _differences(pivot, left)
+    rn, r_lacks, r_place, r_more, r_extra = _differences(pivot, right)
+    known = np.unique(r_extra)
+    token = np.concatenate([r_place, len(pivot) + np.searchsorted(known, r_extra)])
+    order = np.argsort(token, kind="stable")
+    listed = np.concatenate([r_lacks, r_more])[order].astype(np.int32)
+    starts = np.searchsorted(token[order], np.arange(len(pivot) + len(known) + 1))
+    r_apart = np.bincount(listed, minlength=len(right))
+    l_apart = np.bincount(np.concatenate([l_lacks, l_more]), minlength=len(left))
+    place = np.searchsorted(known, l_extra)
+    shared = np.zeros(len(place), dtype=bool)
+    if len(known):
+        shared = known[np.minimum(place, len(known) - 1)] == l_extra
+    owner = np.concatenate([l_lacks, l_more[shared]])
+    order = np.argsort(owner, kind="stable")
+    asks = np.concatenate([l_place, len(pivot) + place[shared]])[order]
+    bounds = np.searchsorted(owner[order], np.arange(len(left) + 1))
+    homes = np.unique(np.concatenate([np.array(left_home, dtype=np.int64), np.array(right_home, dtype=np.int64)]), return_inverse=True)[1]
+    home_l, home_r = homes[: len(left)], homes[len(left) :]
+    links: list[tuple[int, int]] = []
+    for i in range(len(left)):
+        far = home_r != home_l[i]
+        if not far.any():
+            continue
+        mine = asks[bounds[i] : bounds[i + 1]]
+        first, many = starts[mine], starts[mine + 1] - starts[mine]
+        before = np.cumsum(many) - many
+        met = np.bincount(listed[np.repeat(first - before, many) + np.arange(int(many.sum()))], minlength=len(right))
+        total = ln[i] + rn
+        common = (total - (l_apart[i] + r_apart - 2 * met)) // 2
+        for j in np.flatnonzero(far & (100 * common >= percent * (total - common))).tolist():
+            was, now = home_r[j], home_l[i]
+            if was != now:
+                home_l[home_l == was] = now
+                home_r[home_r == was] = now
+                links.append((i, j))
+    return links
+
+
+def group_links(sets: list[np.ndarray], percent: int, alone: bool = True) -> list[tuple[int, int]]:
+    """Places (i, j) of links of the first set, the pivot, and if the group is ``alone`` in its task
+    also of links that connect whatever links connect among the others."""
     pivot = sets[0]
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    shared = [np.isin(pivot, x, assume_unique=True) for x in sets]
-    common = np.array([int(m.sum()) for m in shared])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    hit = pivot[np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)] == flat
+    common = np.bincount(owner[hit], minlength=len(sets))
     near = 100 * common >= percent * (sizes[0] + sizes - common)
-    links = [(0, i) for i in range(1, len(sets)) if near[i]]
+    links = [(0, i) for i in np.flatnonzero(near).tolist() if i]
     others = np.flatnonzero(~near)
-    if not len(others) or len(sets) < 3:
+    if not alone or not len(others) or len(sets) < 3:
         return links
-    # Differences from the pivot: what a set lacks of it, and what it has besides.
-    lacks = [np.flatnonzero(~m) for m in shared]
-    extra = [np.setdiff1d(x, pivot, assume_unique=True) for x in sets]
-    tokens, back, counts = np.unique(np.concatenate(extra), return_inverse=True, return_counts=True)
-    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)  # what only one set has is shared by none
-    at = np.split(column[back], np.cumsum([len(x) for x in extra])[:-1])
-    differ = np.array([len(a) + len(b) for a, b in zip(lacks, extra, strict=True)], dtype=np.int64)
-    width = len(pivot) + int((counts > 1).sum())
-    rows = [np.r_[a, len(pivot) + b[b >= 0]] for a, b in zip(lacks, at, strict=True)]
-    parent = np.where(near, 0, np.arange(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    both = np.zeros((len(others), len(sets)), dtype=np.float32)
-    for start in range(0, width, 4096):
-        held = np.zeros((len(sets), min(4096, width - start)), dtype=np.float32)
-        for i, r in enumerate(rows):
-            held[i, r[(r >= start) & (r < start + 4096)] - start] = 1
-        both += held[others] @ held.T
-    for k, i in enumerate(others.tolist()):
-        apart = differ[i] + differ - 2 * np.rint(both[k]).astype(np.int64)
-        total = sizes[i] + sizes
-        meet = (total - apart) // 2
-        for j in np.flatnonzero(100 * meet >= percent * (total - meet)).tolist():
-            x, y = root(i), root(j)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                links.append((i, j))
-    return links
+    home = np.where(near, 0, np.arange(len(sets)))
+    found = derived_links(pivot, [sets[i] for i in others], sets[1:], home[others].tolist(), home[1:].tolist(), percent)
+    return links + [(int(others[i]), j + 1) for i, j in found]
 
 
 def link_components(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -499,29 +682,28 @@ def link_components(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     nothing; texts of equal sets link, repeated rows included; an empty table gives no rows.
     No cap is set on lists, candidates or components.
     """
-    prefixes = durable(_prefixes(docs, words, percent))
-    schema = "token long, node long, n int, pos int"
-    entries = prefixes.filter("prefix IS NOT NULL").select("node", "n", "prefix").mapInArrow(_entries, schema)
-    #: A set can link with one of its own size only where enough of it is left; such entries come first.
-    late = F.col("n") - F.col("pos") < F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
-    entries = entries.withColumn("late", late.cast("int"))
-    lists = durable(
-        entries.repartition("token").sortWithinPartitions("token", "late", "node").drop("late").mapInArrow(_shared_lists(percent), schema + ", pivot long, star boolean")
-    )
+    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, words))
+    prefixes = durable(_prefixes(docs, sketch, words, percent))
+    entries = prefixes.filter("prefix IS NOT NULL").select("node", "n", "prefix").mapInArrow(_entries(sketch, percent), _ENTRY)
+    lists = _lists(entries, percent)
     texts = _texts(docs, prefixes, lists, words)
-    stars = lists.filter("star AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = durable(_star_links(durable(stars), texts, words, percent))
+    stars = durable(lists.filter("star AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n").distinct())
+    links = durable(_star_links(stars, texts, words, percent))
     comps = components(links)
-
-    known = lists.select("token", "node", "n", "pos", "star").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = known.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("star").alias("settled")).filter("lo < hi AND NOT settled").select("token", "m")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    cut = known.join(open_, "token").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cut = cut.select("token", F.least("tile", "other").alias("c1"), F.greatest("tile", "other").alias("c2"), "node", "n", "pos", "comp", "star", "tile")
-    crossing = cut.repartition("token", "c1", "c2").sortWithinPartitions("token", "c1", "c2").mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
+    more = durable(_tile_links(stars, comps, texts, words, percent))
+    if not more.isEmpty():
+        links = durable(links.union(more))
+        comps = components(links)
+
+    known = lists.filter("NOT settled").select("token", "node", "n", "pos", "pivot", "star").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    home = F.max(F.when(F.col("node") == F.col("pivot"), F.col("comp"))).alias("home")
+    open_ = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("star").alias("settled"), home).filter("lo < hi AND NOT settled").select("token", "home")
+    cut = durable(_with_group(known, "token", open_).select("token", "node", "n", "pos", "comp", "star", (F.col("comp") != F.col("home")).alias("outside")))
+    tiles, _ = _tiled(cut, "token", ["pos", "comp", "star"], max(1, TILE // 2))
+    tiles = tiles.select("token", "c1", "c2", "kind", "node", "n", "pos", "comp", "star", "outside")
+    crossing = tiles.repartition("token", "c1", "c2").sortWithinPartitions("token", "c1", "c2").mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
     crossing = crossing.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = durable(links.union(_verified(crossing, texts, words, percent)))
+    links = durable(links.union(_verified(crossing.withColumn("n", F.lit(1)), texts, words, percent)))
     comps = components(links)
 
     nodes = prefixes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

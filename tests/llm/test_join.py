@@ -63,10 +63,13 @@ def test_components(documents, seed, words, percent):
     assert sorted(tuple(r) for r in got.collect()) == brute(texts, ids, words, percent)
 
 
-def test_tiles_and_groups(documents, monkeypatch):
-    """Lists and groups that are cut into tiles lose nothing."""
-    monkeypatch.setattr(j, "TILE", 5)
-    texts = corpus(7)
+@pytest.mark.parametrize(("tile", "listed", "seed"), [(5, 20_000, 7), (1024, 3, 8), (3, 4, 9)])
+def test_tiles_and_groups(documents, monkeypatch, tile, listed, seed):
+    """Lists and groups that are cut into tiles and salts lose nothing."""
+    monkeypatch.setattr(j, "TILE", tile)
+    monkeypatch.setattr(j, "LIST", listed)
+    monkeypatch.setattr(j, "HOLD", tile)
+    texts = corpus(seed)
     got = j.link_components(documents(texts), words=4, percent=85)
     assert sorted(tuple(r) for r in got.collect()) == brute(texts, list(range(len(texts))), 4, 85)
 
@@ -94,6 +97,80 @@ def test_group_links_connect_all_that_links_connect():
         assert parts(got) == parts(want) and {tuple(sorted(x)) for x in got} <= set(want)
 
 
+def test_derived_links_between_tiles():
+    """What two tiles find connects what links connect between them, whatever is connected already."""
+    deal = np.random.default_rng(3)
+    base = deal.integers(0, 2**40, 80, dtype=np.uint64)
+    sets = [np.unique(np.r_[deal.choice(base, 70, replace=False), deal.integers(0, 2**40, deal.integers(0, 25), dtype=np.uint64)]) for _ in range(60)]
+    left, right, pivot = sets[1:25], sets[25:], sets[0]
+    for percent in (50, 70):
+        found = j.derived_links(pivot, left, right, list(range(24)), list(range(24, 59)), percent)
+        want = {(a, b) for a in range(24) for b in range(35) if j.linked(len(np.intersect1d(left[a], right[b])), len(left[a]), len(right[b]), percent)}
+        assert set(found) <= want
+
+        def parts(links):
+            up = list(range(59))
+            for _ in range(59):
+                for a, b in links:
+                    up[a] = up[24 + b] = min(up[a], up[24 + b])
+            return up
+
+        assert parts(found) == parts(want)
+
+
+def test_lists_that_come_in_pieces(monkeypatch):
+    """Lists, settled or not, are the same however their entries are cut into batches."""
+    import pyarrow as pa
+
+    deal = random.Random(2)
+    rows = set()
+    for token in range(60):
+        for _ in range(deal.choice((1, 2, 2, 3, 12))):
+            n = deal.choice((20, 21, 40))
+            pos = deal.randrange(6)
+            rows.add((token, int(n - pos < j._needed(np.int64(n), n, 80)), deal.randrange(50), n, pos))
+    rows = sorted({r[:3]: r for r in rows}.values())
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], pa.int64()) for i in range(5)], names=list("abcde"))
+
+    def told(size):
+        out = [b.to_pylist() for b in j._shared_lists(80)(batch(rows[k : k + size]) for k in range(0, len(rows), size))]
+        return [tuple(r.values()) for part in out for r in part]
+
+    whole = told(len(rows))
+    assert whole and all(told(size) == whole for size in (1, 2, 3, 7))
+    by = {}
+    for r in whole:
+        by.setdefault(r[0], []).append(r)
+    for token, got in by.items():
+        assert len(got) == sum(r[0] == token for r in rows)
+        assert {r[4] for r in got} == {got[0][1]}
+        assert all(r[5] & j.SETTLED for r in got) == all(r[5] & 1 for r in got)
+    monkeypatch.setattr(j, "HOLD", 2)
+    assert [r[:5] for r in told(3) if len(by.get(r[0], ())) > 2] == [r[:5] for r in whole if len(by[r[0]]) > 2]
+
+
+def test_long_texts_are_hashed_in_stretches(monkeypatch):
+    deal = random.Random(5)
+    text = " ".join("".join(deal.choice("abcé") for _ in range(deal.randint(1, 9))) for _ in range(5000)) + "  \n" + "x" * 3000 + " end of it"
+    want = j.shingles_of([text, "a b"], 5)
+    monkeypatch.setattr(j, "_CHUNK", 256)
+    got = j.shingles_of([text, "a b"], 5)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_one_group_of_many_near_copies_in_bounded_memory():
+    """Two tiles of a large group are compared without a matrix of pairs."""
+    import tracemalloc
+
+    deal = np.random.default_rng(1)
+    base = deal.integers(0, 2**60, 180, dtype=np.uint64)
+    sets = [np.unique(np.r_[deal.choice(base, 150, replace=False), deal.integers(0, 2**60, 20, dtype=np.uint64)]) for _ in range(2 * j.TILE + 1)]
+    tracemalloc.start()
+    j.derived_links(sets[0], sets[1 : j.TILE + 1], sets[j.TILE + 1 :], list(range(j.TILE)), list(range(j.TILE, 2 * j.TILE)), 80)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_one_of_each(documents):
     base = " ".join(f"w{i}" for i in range(50))
     df = documents([base, base + " more", base, "other text of some words here", None, ""], ids=[5, 3, 9, 1, 2, 2], extra=True)
