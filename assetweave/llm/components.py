@@ -26,3 +26,19 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
         if new.filter("comp <> was").isEmpty():
             return labels
+
+
+def extended(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) as they are with the links ``more`` (a, b) besides.
+
+    Only the graph of the components that new links join is solved, so the cost follows the new links.
+    """
+    known = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+    joined = more.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    joined = durable(joined.filter("a <> b").distinct())
+    if joined.isEmpty():
+        return comps
+    # A component's name is its smallest node, so the smallest name is the smallest node of all.
+    names = components(joined)
+    renamed = comps.join(names.select(F.col("node").alias("comp"), F.col("comp").alias("name")), "comp", "left").select("node", F.coalesce("name", "comp").alias("comp"))
+    return durable(renamed.unionByName(names.join(comps.select("node"), "node", "left_anti")))

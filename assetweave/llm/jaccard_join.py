@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cache_of, durable, map_texts, stretches, text_or_empty
-from .components import components
+from .components import components, extended
 
 #: The sketch has 2 ** SKETCH_BITS counts, and moves in blocks.
 SKETCH_BITS = 20
@@ -693,18 +693,18 @@ def link_components(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     more = durable(_tile_links(stars, comps, texts, words, percent))
     if not more.isEmpty():
         links = durable(links.union(more))
-        comps = components(links)
+        comps = extended(comps, more)
 
     known = lists.filter("NOT settled").select("token", "node", "n", "pos", "pivot", "star").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     home = F.max(F.when(F.col("node") == F.col("pivot"), F.col("comp"))).alias("home")
     open_ = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("star").alias("settled"), home).filter("lo < hi AND NOT settled").select("token", "home")
     cut = durable(_with_group(known, "token", open_).select("token", "node", "n", "pos", "comp", "star", (F.col("comp") != F.col("home")).alias("outside")))
-    tiles, _ = _tiled(cut, "token", ["pos", "comp", "star"], max(1, TILE // 2))
-    tiles = tiles.select("token", "c1", "c2", "kind", "node", "n", "pos", "comp", "star", "outside")
-    crossing = tiles.repartition("token", "c1", "c2").sortWithinPartitions("token", "c1", "c2").mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
-    crossing = crossing.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = durable(links.union(_verified(crossing.withColumn("n", F.lit(1)), texts, words, percent)))
-    comps = components(links)
+    if not cut.isEmpty():
+        tiles, _ = _tiled(cut, "token", ["pos", "comp", "star"], max(1, TILE // 2))
+        tiles = tiles.select("token", "c1", "c2", "kind", "node", "n", "pos", "comp", "star", "outside")
+        crossing = tiles.repartition("token", "c1", "c2").sortWithinPartitions("token", "c1", "c2").mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
+        crossing = crossing.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        comps = extended(comps, _verified(crossing.withColumn("n", F.lit(1)), texts, words, percent))
 
     nodes = prefixes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = nodes.join(nodes.groupBy("comp").agg(F.min("least").alias("name")), "comp").select("node", "name")

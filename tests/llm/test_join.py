@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from assetweave.llm import jaccard_join as j
+from assetweave.llm.components import components, extended
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -183,3 +184,15 @@ def test_edges(documents):
     assert j.link_components(documents([])).count() == 0
     got = sorted(j.link_components(documents(["a b"] * 3 + [None], ids=[1, 1, 1, 2]), words=4, percent=85).collect())
     assert [tuple(r) for r in got] == [(1, 1, 1)] * 3 + [(2, 0, 2)]
+
+
+def test_components_extended_by_links_are_those_of_all_links(spark):
+    deal = random.Random(9)
+    nodes = deal.sample(range(-(2**40), 2**40), 60)
+    cases = [([], [(1, 2)]), ([(5, 4)], [(7, 5), (7, 3)]), ([(1, 2), (3, 4)], [(2, 1)])]
+    cases += [([tuple(deal.sample(nodes, 2)) for _ in range(25)], [tuple(deal.sample(nodes, 2)) for _ in range(many)]) for many in (1, 15)]
+    for first, more in cases:
+        table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+        got = {r["node"]: r["comp"] for r in extended(components(table(first)), table(more)).collect()}
+        whole = {r["node"]: r["comp"] for r in components(table(first + more)).collect()}
+        assert got == whole
