@@ -13,9 +13,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round a node takes the least label about it, and then its label's label, until nothing
     changes; stars settle in two rounds and chains in about the logarithm of their length. A hub's
-    rows are aggregated before they move, and each round is checkpointed.
+    rows are aggregated before they move, and each round is checkpointed. ``links`` is read in each
+    round, so it should be durable.
     """
-    both = durable(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.select(F.inline(ways))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp"))
     labels = durable(labels)
     while True:
