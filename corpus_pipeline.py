@@ -45,7 +45,8 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: The classifier, the join, PII and packing are beyond SQL; tests hold the stages against brute force.
+#: The classifier, the join, PII and packing are beyond SQL. The operators have tests of their own;
+#: the whole is only tested for its counts and for equal reruns.
 ORACLE_SQL = None
 
 
