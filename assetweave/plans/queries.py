@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, vectors
-from ..functions.numbers import decibels, iso_time, round_up
+from ..functions.numbers import average_kbps, decibels, hex_color, human_size, iso_time, round_up
 from ..operators import catalog, changes, evaluation, ranking, search
 from . import driver_tables as t
 
@@ -443,3 +443,98 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = t.vectors_with_kind(spark, sf_dir).select(F.col("vec_id").alias("id"), "vector")
     q = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     return search.batch_top_k(q, v, 10).withColumn("score", round_up(F.col("score")))
+
+
+_BYTES_SQL = "(n_chars * (doc_id + 1))"
+
+
+@query(f"""SELECT doc_id, CASE WHEN {_BYTES_SQL} < 1024 THEN {_BYTES_SQL} || ' B' WHEN {_BYTES_SQL} < 1048576 THEN printf('%.1f', floor({_BYTES_SQL} / 1024 * 10 + 0.5) / 10) || ' KB'
+  ELSE printf('%.1f', floor({_BYTES_SQL} / 1048576 * 10 + 0.5) / 10) || ' MB' END AS size FROM documents""")
+def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_bytes = F.col("n_chars") * (F.col("doc_id") + 1)
+    return t.read(spark, sf_dir, "documents").select("doc_id", human_size(n_bytes).alias("size"))
+
+
+@query("SELECT c_custkey, printf('#%02x%02x%02x', (c_custkey % 256)::INT, (c_custkey * 7 % 256)::INT, (c_custkey * 31 % 256)::INT) AS color FROM customer")
+def hex_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda by: (F.col("c_custkey") * by % 256).cast("int")
+    return t.read(spark, sf_dir, "customer").select("c_custkey", hex_color(part(1), part(7), part(31)).alias("color"))
+
+
+@query("SELECT o_orderkey, floor(floor(o_totalprice) * 8 / (o_orderkey % 300 + 1) / 1000 + 0.5)::INT AS kbps FROM orders")
+def audio_bitrates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.read(spark, sf_dir, "orders").select("o_orderkey", average_kbps(F.floor("o_totalprice").cast("double"), F.col("o_orderkey") % 300 + 1).alias("kbps"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 IN (0, 3) THEN 'audio' ELSE 'visual' END AS channel FROM events""")
+def space_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    families = F.array(*[F.lit(x) for x in ("clap", "siglip", "clip", "test-audio", "test-hash")])
+    space = F.concat_ws(":", F.element_at(families, (F.col("event_id") % 5 + 1).cast("int")), "event_type", F.lit("r1"))
+    return t.read(spark, sf_dir, "events").select("event_id", paths.channel_of_space(space).alias("channel"))
+
+
+@query(f"WITH {t.ASSETS_SQL}, c AS (SELECT kind, count(*) AS n FROM assets WHERE state = 'indexed' GROUP BY kind) SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) AS types FROM c")
+def kind_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = catalog.counts_record(catalog.count_by_kind(t.assets(spark, sf_dir)))
+    entries = F.transform(F.array_sort(F.map_entries("types")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return record.select(F.array_join(entries, ",").alias("types"))
+
+
+@query(f"""WITH {t.ASSETS_SQL} SELECT path, CASE kind
+  WHEN 'image' THEN size || 'x' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' transparent' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' animated' ELSE '' END
+  WHEN 'audio' THEN printf('%.1f', size / 10) || 's' || CASE doc_id % 4 WHEN 1 THEN ' mono' WHEN 2 THEN ' stereo' ELSE '' END
+  ELSE size || ' triangles' || CASE WHEN doc_id % 5 = 0 THEN ' animated' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' rigged' ELSE '' END END AS summary FROM assets""")
+def asset_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, n = F.col("doc_id"), F.col("size")
+    fields = {"width": n, "height": i, "hasTransparency": i % 2 == 0, "animated": i % 5 == 0, "durationSeconds": n / 10, "channels": i % 4, "triangleCount": n, "hasAnimations": i % 5 == 0, "hasSkeleton": i % 2 == 0}
+    metadata = F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]))
+    return catalog.summary(t.assets(spark, sf_dir).withColumn("metadata", metadata)).select("path", "summary")
+
+
+def _path_of(assets: DataFrame, doc_id: int) -> str:
+    """The path to look up."""
+    return assets.filter(F.col("doc_id") == doc_id).select("path").first()[0]
+
+
+@query(f"WITH {t.ASSETS_SQL} SELECT doc_id, path, size, state FROM assets WHERE path = (SELECT path FROM assets WHERE doc_id = 5)")
+def asset_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = t.assets(spark, sf_dir)
+    return catalog.by_path(a, _path_of(a, 5)).select("doc_id", "path", "size", "state")
+
+
+@query(f"WITH {t.ASSETS_SQL} SELECT doc_id, path FROM assets WHERE lower(nfc_normalize(path)) = (SELECT lower(nfc_normalize(path)) FROM assets WHERE doc_id = 5)")
+def asset_by_match_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path typed in capitals finds the asset."""
+    a = t.assets(spark, sf_dir)
+    return catalog.by_match_key(a.withColumn("match_key", paths.match_key(F.col("path"))), _path_of(a, 5).upper()).select("doc_id", "path")
+
+
+@query(f"WITH {t.ASSETS_SQL} SELECT path, size, mtime_ms, content_hash, processor_id, processor_version, state FROM assets")
+def change_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.stats_for_changes(t.assets(spark, sf_dir))
+
+
+@query(f"WITH {t.EMBEDDINGS_SQL} SELECT content_hash, space_id, input_version, dims FROM emb WHERE content_hash = (SELECT sha256(text) FROM documents WHERE doc_id = 6) AND space_id = 'visual'")
+def embeddings_of_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content_hash = t.read(spark, sf_dir, "documents").filter("doc_id = 6").select(F.sha2("text", 256)).first()[0]
+    return catalog.embeddings_of(t.embeddings(spark, sf_dir), content_hash, "visual").drop("vector")
+
+
+@query("SELECT event_type AS space, arg_max(user_id, event_id) AS user_id FROM events GROUP BY event_type")
+def models_by_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.one_space_each(t.read(spark, sf_dir, "events").select(F.col("event_type").alias("space"), F.col("event_id").alias("at"), "user_id"))
+
+
+@query(f"""WITH {t.VECTORS_SQL}, m AS (SELECT path, CASE WHEN vec_id % 7 = 3 THEN 32 ELSE len(vector) END AS dims FROM vec)
+  SELECT path, dims::INT AS dims FROM m WHERE dims = (SELECT dims FROM m ORDER BY path LIMIT 1)""")
+def mixed_dims_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of vectors of two lengths those of the first path's stay."""
+    whole = t.vectors_with_kind(spark, sf_dir)
+    mixed = whole.withColumn("vector", F.when(F.col("vec_id") % 7 == 3, F.slice("vector", 1, 32)).otherwise(F.col("vector")))
+    return search.same_dims(mixed, search.first_dims(mixed)).select("path", F.size("vector").alias("dims"))
+
+
+@query(f"WITH {t.ASSETS_SQL} SELECT path, CASE WHEN kind = 'audio' THEN 'audio+lexical/v1' ELSE 'visual+lexical/v1' END AS ranking FROM assets")
+def ranking_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.when(F.col("kind") == "audio", ranking.single_ranking("audio")).otherwise(ranking.single_ranking("visual"))
+    return t.assets(spark, sf_dir).select("path", named.alias("ranking"))
