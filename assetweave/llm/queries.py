@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_document_fingerprints": document_fingerprints.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op10_source_mixing": source_mixing.ORACLE_SQL}
+    return {"op3_document_fingerprints": document_fingerprints.ORACLE_SQL, "op6_url_filters": url_filters.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL, "op10_source_mixing": source_mixing.ORACLE_SQL}

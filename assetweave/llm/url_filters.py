@@ -91,3 +91,39 @@ def registered(spark, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     captures = pages.select("page_id", "url", (F.col("page_id") % DAYS).cast("int").alias("fetched"))
     return evaluate(captures, list_of(pages))
+
+
+def _oracle_sql() -> str:
+    fixed = ", ".join(f"('{key}', '{action}', '{change}', {at})" for key, action, change, at in FIXED_ENTRIES)
+    return rf"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS t),
+page AS (
+  SELECT page_id, url, (page_id % {DAYS})::INT AS fetched, lower(regexp_extract(url, '{_HOST}', 1)) AS host, regexp_extract(url, '{_PATH}', 1) AS path FROM pages),
+host_bytes AS (
+  SELECT host, list_transform(range(octet_length(encode(host))), lambda i: ('0x' || substr(hex(encode(host)), 2 * i + 1, 2))::BIGINT) AS b
+  FROM (SELECT DISTINCT host FROM page WHERE host <> '')),
+host_crc AS (
+  SELECT host, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS c FROM host_bytes, crc_table),
+listed AS (SELECT 'd:' || host AS key, c // 10 AS d FROM host_crc WHERE c % 10 = 0),
+changes AS (
+  SELECT * FROM (VALUES {fixed}) AS f(key, action, change, "at")
+  UNION SELECT key, 'drop', 'add', (d % {DAYS})::INT FROM listed
+  UNION SELECT key, 'drop', 'remove', (d % {DAYS} + 90)::INT FROM listed WHERE d % 3 = 0),
+spans AS (
+  SELECT key, action, change, "at" AS since, lead("at") OVER (PARTITION BY key, action ORDER BY "at", change) AS until FROM changes),
+active_entries AS (SELECT * FROM spans WHERE change = 'add' AND (until IS NULL OR until > since)),
+parts AS (
+  SELECT page_id, url, fetched, host, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda p: p <> '') AS dirs FROM page WHERE host <> ''),
+keys AS (
+  SELECT page_id, url, fetched, unnest(list_concat(
+    list_transform(range(1, len(labels) + 1), lambda i: {{'key': 'd:' || array_to_string(labels[i:], '.'), 'depth': len(labels) - i + 1}}),
+    list_transform(range(1, len(dirs) + 1), lambda i: {{'key': 'p:' || host || '/' || array_to_string(dirs[:i], '/'), 'depth': i + 1000}}))) AS k FROM parts),
+won AS (
+  SELECT page_id, url, fetched, max({{'depth': k.depth, 'since': since, 'keep': (action = 'keep')::INT, 'entry': key, 'action': action}}) AS w
+  FROM keys JOIN active_entries ON key = k.key AND fetched >= since AND (until IS NULL OR fetched < until) GROUP BY ALL)
+SELECT p.page_id, p.url, p.fetched, w.entry AS entry, w.since AS since, w.action AS action, coalesce(w.action <> 'drop', true) AS kept
+FROM page p LEFT JOIN won ON won.page_id IS NOT DISTINCT FROM p.page_id AND won.url = p.url AND won.fetched = p.fetched"""
+
+
+ORACLE_SQL = _oracle_sql()
