@@ -97,3 +97,75 @@ def test_chat_edges(spark):
     assert q.link_quotations(messages(spark, [])).count() == 0
     got = q.link_quotations(messages(spark, [(1, 0, "u", "a"), (1, 0, "u", "a"), (1, 1, "u", ">a"), (1, 1, "u", ">a")])).collect()
     assert len(got) == 4 and sorted(r["position"] for r in got) == [0, 1, 2, 3]
+
+
+def threaded(rows):
+    """The same by plain loops: every message against all before it. Rows (conv_id, turn, text), one a turn."""
+    import re
+
+    def normal(text):
+        return re.sub(r"[\W_]+", " ", text.lower()).strip()
+
+    def parse(text):
+        runs = []
+        for line in text.split("\n"):
+            marks = re.match(r"(?:[ \t]*>)*", line)[0]
+            level = marks.count(">")
+            body = line[len(marks) :] if level else line
+            if not runs or runs[-1][0] != level:
+                runs.append((level, []))
+            runs[-1][1].append(body)
+        own, quotes = [], set()
+        for i, (level, bodies) in enumerate(runs):
+            if level:
+                quotes |= {(level, normal(x)) for x in ["\n".join(bodies), *bodies]}
+            else:
+                announced = i + 1 < len(runs) and re.match(r"(?i)on\b.*\bwrote:$", bodies[-1])
+                own.append("\n".join(bodies[:-1] if announced else bodies))
+        return "\n".join(own).strip(), sum(1 for level, _ in runs if level), {x for x in quotes if x[1]}
+
+    out = {}
+    for conv in {c for c, _, _ in rows}:
+        said = {turn: parse(text) for c, turn, text in rows if c == conv}
+        has = {turn: {normal(p) for p in [reply, *re.split(r"\n\s*\n", reply), *reply.split("\n")]} for turn, (reply, _, _) in said.items()}
+        parent, linked = {}, {}
+        for turn, (_, _, quotes) in said.items():
+            origins = [(level, max((o for o in said if o < turn and key in has[o]), default=None)) for level, key in quotes]
+            linked[turn] = sum(o is not None for _, o in origins)
+            parent[turn] = max((o for level, o in origins if level == 1 and o is not None), default=None)
+
+        def chain(turn, parent=parent):
+            return 0 if parent[turn] is None else 1 + chain(parent[turn])
+
+        def root(turn, parent=parent):
+            return turn if parent[turn] is None else root(parent[turn])
+
+        for position, turn in enumerate(sorted(said, key=lambda x: (root(x), x))):
+            out[conv, turn] = (said[turn][0], said[turn][1], linked[turn], parent[turn], root(turn), chain(turn), position)
+    return out
+
+
+def test_against_plain_loops(spark):
+    """Random conversations that quote whole messages, paragraphs, lines, quotes of quotes, and nothing known."""
+    import random
+
+    deal = random.Random(11)
+    words = "red green blue stone river cloud paper north seven apple".split()
+    rows = []
+    for conv in range(40):
+        replies, texts = [], []
+        for turn in range(deal.randint(1, 25)):
+            reply = "\n".join(" ".join(deal.choices(words, k=deal.randint(1, 3))) + deal.choice(["", ".", "!"]) if deal.random() < 0.85 else "" for _ in range(deal.randint(1, 4))).strip()
+            text, kind = reply, deal.random()
+            if replies and kind < 0.7:
+                i = deal.randrange(len(replies))
+                quoted = deal.choice([replies[i], texts[i], deal.choice(replies[i].split("\n")), "nobody said this"])
+                text = "\n".join(deal.choice(["> ", ">"]) + deal.choice([x, x.upper()]) for x in quoted.split("\n"))
+                text = deal.choice(["", "On Monday someone wrote:\n", "Well.\n"]) + text + ("\n" + reply if kind < 0.6 else "")
+            replies.append(reply)
+            texts.append(text)
+            rows.append((conv, turn, text))
+    got = q.link_quotations(messages(spark, [(c, turn, "u", text) for c, turn, text in rows])).collect()
+    want = threaded(rows)
+    assert {(r["conv_id"], r["turn"]): (r["reply"], r["n_quotes"], r["n_linked"], r["reply_to"], r["thread"], r["depth"], r["position"]) for r in got} == want
+    assert sum(x[2] for x in want.values()) > 200
