@@ -45,8 +45,8 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: The classifier, the join, PII and packing are beyond SQL. The operators have tests of their own;
-#: the whole is only tested for its counts and for equal reruns.
+#: The classifier, the join, PII and packing are beyond SQL. A test holds every stage, on what its
+#: predecessor kept, against a brute-force version.
 ORACLE_SQL = None
 
 
