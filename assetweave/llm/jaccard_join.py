@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cache_of, durable, map_texts, stretches, text_or_empty
+from .common import cache_of, count_of, durable, map_texts, stretches, text_or_empty
 from .components import components, extended
 
 #: The sketch has 2 ** SKETCH_BITS counts, and moves in blocks.
@@ -460,14 +460,16 @@ def _tiled(members: DataFrame, key: str, extra: list[str], tile_of: int) -> tupl
     return asked.unionByName(held), sizes.select(key, every("t1").alias("c1"), "t2").select(key, "c1", every("t2").alias("c2"))
 
 
-def _texts(docs: DataFrame, prefixes: DataFrame, lists: DataFrame, words: int) -> DataFrame:
-    """node and a compressed text of it, one row for each node of ``lists``.
+def _texts(docs: DataFrame, prefixes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and a compressed text of it, one row for each node of ``pairs`` (a, b).
 
     A node's text comes from its document of least row hash. A filter of fixed size over those
-    hashes lets few other texts through; the join that follows is exact.
+    hashes lets few other texts through; the join that follows is exact. Texts are what costs most
+    to move, so each is taken up only for pairs that will be compared, and repeated rows go where
+    the join has brought them together.
     """
     chosen = prefixes.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
-    chosen = durable(chosen.join(lists.select("node").distinct(), "node", "left_semi"))
+    chosen = durable(chosen.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
     bits = 1 << FILTER_BITS
     per = bits // 64
 
@@ -504,7 +506,7 @@ def _texts(docs: DataFrame, prefixes: DataFrame, lists: DataFrame, words: int) -
         return each
 
     packed = map_texts(_with_row(docs), ["row"], [("z", "binary")], make, several=True, extra=["row"])
-    return durable(packed.join(chosen, "row").select("node", "z").dropDuplicates(["node"]))
+    return durable(packed.join(chosen, "row").dropDuplicates(["row", "node"]).select("node", "z"))
 
 
 def _dealt(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
@@ -564,14 +566,18 @@ def _star_links(stars: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return _dealt(stars, texts, TILE).mapInArrow(run, "a long, b long")
 
 
-def _tile_links(stars: DataFrame, comps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _tile_links(stars: DataFrame, comps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Links (a, b) that connect whatever links connect among the candidates of a pivot whose group
-    one task can't hold: its sets outside the pivot's component, tile by tile, against all."""
+    one task can't hold: its sets outside the pivot's component, tile by tile, against all. None
+    where there is no such group."""
     large = stars.groupBy("a").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("size")).filter((F.col("m") > TILE) | (F.col("size") > TILE_SHINGLES))
     large = large.join(comps.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("comp", "a").alias("home_a"))
     held = _with_group(stars.select("a", F.col("b").alias("node"), "n"), "a", large).join(comps, "node", "left")
     held = held.select("a", "node", "n", F.coalesce("comp", "node").alias("home"), "home_a").withColumn("outside", F.col("home") != F.col("home_a"))
-    tiles, places = _tiled(durable(held), "a", ["home"], TILE)
+    held = durable(held)
+    if not count_of(held):
+        return None
+    tiles, places = _tiled(held, "a", ["home"], TILE)
     tiles = tiles.select("a", "c1", "c2", (F.col("kind") + 1).alias("kind"), "node", "home")
     heads = places.select("a", "c1", "c2", F.lit(0).alias("kind"), F.col("a").alias("node"), F.lit(0).cast("long").alias("home"))
 
@@ -686,25 +692,27 @@ def link_components(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     prefixes = durable(_prefixes(docs, sketch, words, percent))
     entries = prefixes.filter("prefix IS NOT NULL").select("node", "n", "prefix").mapInArrow(_entries(sketch, percent), _ENTRY)
     lists = _lists(entries, percent)
-    texts = _texts(docs, prefixes, lists, words)
     stars = durable(lists.filter("star AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n").distinct())
+    texts = _texts(docs, prefixes, stars)
     links = durable(_star_links(stars, texts, words, percent))
     comps = components(links)
-    more = durable(_tile_links(stars, comps, texts, words, percent))
-    if not more.isEmpty():
-        links = durable(links.union(more))
+    if (more := _tile_links(stars, comps, texts, words, percent)) is not None:
+        more = durable(more)
+        links = links.union(more)
         comps = extended(comps, more)
 
     known = lists.filter("NOT settled").select("token", "node", "n", "pos", "pivot", "star").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     home = F.max(F.when(F.col("node") == F.col("pivot"), F.col("comp"))).alias("home")
     open_ = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("star").alias("settled"), home).filter("lo < hi AND NOT settled").select("token", "home")
     cut = durable(_with_group(known, "token", open_).select("token", "node", "n", "pos", "comp", "star", (F.col("comp") != F.col("home")).alias("outside")))
-    if not cut.isEmpty():
+    if count_of(cut):
         tiles, _ = _tiled(cut, "token", ["pos", "comp", "star"], max(1, TILE // 2))
         tiles = tiles.select("token", "c1", "c2", "kind", "node", "n", "pos", "comp", "star", "outside")
         crossing = tiles.repartition("token", "c1", "c2").sortWithinPartitions("token", "c1", "c2").mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
-        crossing = crossing.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        comps = extended(comps, _verified(crossing.withColumn("n", F.lit(1)), texts, words, percent))
+        crossing = durable(crossing.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        if count_of(crossing):
+            texts = _texts(docs, prefixes, crossing)
+            comps = extended(comps, durable(_verified(crossing.withColumn("n", F.lit(1)), texts, words, percent)))
 
     nodes = prefixes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = nodes.join(nodes.groupBy("comp").agg(F.min("least").alias("name")), "comp").select("node", "name")

@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from assetweave.llm import components as c
 from assetweave.llm import jaccard_join as j
 from assetweave.llm.components import components, extended
 
@@ -196,3 +197,44 @@ def test_components_extended_by_links_are_those_of_all_links(spark):
         got = {r["node"]: r["comp"] for r in extended(components(table(first)), table(more)).collect()}
         whole = {r["node"]: r["comp"] for r in components(table(first + more)).collect()}
         assert got == whole
+
+
+def test_components_in_rounds_are_those_of_one_task(spark, monkeypatch):
+    deal = random.Random(4)
+    nodes = deal.sample(range(-(2**40), 2**40), 16)
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    said = lambda df: sorted(tuple(r) for r in df.collect())
+    links = [tuple(deal.sample(nodes, 2)) for _ in range(9)]
+    whole = said(components(table(links)))
+    parts = said(extended(components(table(links[::2])), table(links[1::2])))
+    monkeypatch.setattr(c, "FEW", -1)
+    assert whole == parts == said(components(table(links)))
+    assert len(whole) == len({x for link in links for x in link})
+
+
+def test_texts_are_taken_up_for_comparisons_only(spark, documents, monkeypatch):
+    """A list of texts that share a shingle too late to link moves none of them."""
+    texts, taken = j._texts, []
+
+    def spied(docs, prefixes, pairs, *rest):
+        taken.append((out := texts(docs, prefixes, pairs, *rest)).count())
+        return out
+
+    monkeypatch.setattr(j, "_texts", spied)
+    base = [f"w{i}" for i in range(50)]
+    near = [" ".join(base), " ".join([*base, "more"])]
+    # Shared words at the end of texts of very different sizes: lists without a pair that can link.
+    apart = [" ".join([*(f"{k}x{i}" for i in range(30 * 2**k)), "one", "two", "six", "ten"]) for k in range(6)]
+    rows = near + near[:1] + apart
+    got = sorted(tuple(r) for r in j.link_components(documents(rows), words=4, percent=85).collect())
+    assert got == brute(rows, list(range(len(rows))), 4, 85)
+    assert sum(taken) == 2
+
+
+def test_few_links_take_few_jobs(spark):
+    """The driver keeps records of every job and task, so rounds are for many links only."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "")
+    assert {r["comp"] for r in components(links).collect()} == {0}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 6
